@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, licenses, media, mixing, quality
 from .common import table
 
 
@@ -21,6 +21,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), limit=512, keep=["doc_id"])
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, budget=0.5, powers=(0.7, 0.7, 0.7)).drop("text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), min_share=2e-5, keep=["doc_id"])
@@ -28,6 +45,10 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_media_columns": op3_media_columns,
+    "op4_quality_scores": op4_quality_scores,
+    "op5_mixing": op5_mixing,
+    "op7_license_scan": op7_license_scan,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
