@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import hadoop_path, shared_dir, write_bytes
+
 #: Texts are handed to a kernel in runs of about this many characters, so memory doesn't follow the batch.
 CHUNK_CHARS = 4_000_000
 
@@ -27,26 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = _scratch.get("local") or _scratch.setdefault("local", f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
-    return own
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        fs, where = _filesystem(spark, path)
+        fs, where = hadoop_path(spark, path)
         fs.delete(where, True)
     except Exception:  # the session is gone; the cluster's own clean-up of the folder remains
         pass
@@ -73,12 +57,7 @@ def publish(spark: SparkSession, data: bytes, suffix: str) -> str:
     key = f"{spark.sparkContext.applicationId}/{name}"
     if key not in _scratch:
         path = f"{scratch_path(spark, 'published')}/{name}"
-        fs, where = _filesystem(spark, path)
-        out = fs.create(where, True)
-        try:
-            out.write(bytearray(data))
-        finally:
-            out.close()
+        write_bytes(spark, path, data)
         spark.sparkContext.addFile(path)
         _scratch[key] = path
     return name

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, quality
+from ..session import ship
+from . import bpe, licenses, media, mixing, neardup, quality
 from .common import table
 
 
@@ -16,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), limit=512, keep=["doc_id"])
@@ -43,7 +48,16 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), min_share=2e-5, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_media_columns": op3_media_columns,
     "op4_quality_scores": op4_quality_scores,
@@ -52,4 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {}
