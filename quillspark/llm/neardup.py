@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .buckets import crossing, first_pairs, shared_buckets
 from .common import map_text, materialise
 from .components import connected_components
 
@@ -40,9 +41,6 @@ RATE = 20.0
 BANDS = 28
 ROWS = 5
 REGISTERS = BANDS * ROWS
-SALTS = 32
-#: Members of a block in the comparison across components.
-BLOCK = 1024
 #: Verified pairs that each member proposes at most in the first pass; the second pass is complete.
 PROPOSED = 6
 MEMO = 200_000
@@ -211,43 +209,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     return two.mapInArrow(run, schema)
 
 
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """Random pairs inside buckets (bucket, id): owner, other. Each member owns two for each of its buckets at most."""
-    order = F.xxhash64("id", "bucket")
-    rows = members.withColumns({"h": order, "salt": F.pmod(order, F.lit(SALTS))})
-    part = Window.partitionBy("bucket", "salt").orderBy("h", "id")
-    inner = rows.withColumns({"before": F.lag("id").over(part), "top": F.first("id").over(part)})
-    leaders = inner.filter("before IS NULL").select("bucket", "id", "h")
-    whole = Window.partitionBy("bucket").orderBy("h", "id")
-    outer = leaders.withColumns({"before": F.lag("id").over(whole), "top": F.first("id").over(whole)})
-    both = inner.filter("before IS NOT NULL").select("id", "before", "top").unionByName(outer.filter("before IS NOT NULL").select("id", "before", "top"))
-    pairs = both.select(F.col("id").alias("owner"), F.explode(F.array("before", "top")).alias("other"))
-    return pairs.filter("owner <> other").distinct()
-
-
-def _crossing(members: DataFrame, reps: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """a < b: pairs of different components in a common bucket that may be similar enough."""
-    labelled = members.join(components.select("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    labelled = materialise(labelled, "labelled")
-    parts = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = materialise(mixed.select("bucket", F.col("top.c").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("others")), "mixed")
-    rows = labelled.join(mixed, "bucket")
-    h = F.xxhash64("id", F.lit(1))
-    # A member of the largest component is only compared with; the others also compare.
-    compared = rows.select("bucket", "id", "c", F.lit(False).alias("asks"), F.pmod(h, F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"))
-    asking = rows.filter("c <> main").select("bucket", "id", "c", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.pmod(h, F.col("others")).alias("i"))
-    dealt = compared.unionByName(asking.select(compared.columns)).withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})
-    # The sketches' join comes first, so that the blocks are formed once and stay in order.
-    full = dealt.join(reps.select("id", "n", "sketch"), "id").select(F.xxhash64("bucket", "i", "j").alias("block"), "bucket", "i", "j", "asks", "id", "c", "n", "sketch")
-    full = full.repartition(F.col("block")).sortWithinPartitions("block", "bucket", "i", "j").drop("bucket", "i", "j")
+def _by_sketch(percent: int):
+    """Of one block's members the pairs that may be similar enough."""
     floor = _floor(percent)
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def compare(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, comps, n = (table.column(c).to_numpy() for c in ("id", "c", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    def compare(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        ids, comps, n = (block.column(c).to_numpy() for c in ("id", "c", "n"))
+        sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         ask, told = np.flatnonzero(asks), np.flatnonzero(~asks)
         step = max(1, 4_000_000 // (REGISTERS * max(1, len(told))))
         for lo in range(0, len(ask), step):
@@ -256,31 +225,9 @@ def _crossing(members: DataFrame, reps: DataFrame, components: DataFrame, percen
             r, s = np.nonzero((comps[one][:, None] != comps[told]) & (100 * least >= percent * most))
             ka, kb = sketch[one[r]], sketch[told[s]]
             ok = likely(n[one[r]].astype(float), n[told[s]].astype(float), (ka > kb).sum(1), (ka < kb).sum(1), floor) if len(r) else np.zeros(0, bool)
-            x, y = ids[one[r[ok]]], ids[told[s[ok]]]
-            yield np.minimum(x, y), np.maximum(x, y)
+            yield ids[one[r[ok]]], ids[told[s[ok]]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                for a, b in compare(pa.Table.from_batches(held)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            held.clear()
-
-        for batch in batches:
-            keys = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    if keys[lo] != block:
-                        yield from close()
-                        block = keys[lo]
-                    held.append(batch.slice(lo, hi - lo))
-        yield from close()
-
-    return full.mapInArrow(run, schema).distinct()
+    return compare
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,20 +235,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     every = materialise(sketches(docs, k, id_col, text_col), "sketches")
     classes = every.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("key", "r.id", "r.n", "r.sketch")
     reps = materialise(classes, "classes")
-    banded = reps.select(F.explode(_bands()).alias("bucket"), "id")
-    shared = materialise(banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket"), "shared")
-    members = materialise(banded.join(shared, "bucket"), "members")
+    members = shared_buckets(reps.select(F.explode(_bands()).alias("bucket"), "id"))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         one = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         return one.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
 
-    guessed = _rough(sketched(_first_pairs(members).select(F.col("owner").alias("a"), F.col("other").alias("b"))), percent)
+    guessed = _rough(sketched(first_pairs(members).select(F.col("owner").alias("a"), F.col("other").alias("b"))), percent)
     best = Window.partitionBy("a").orderBy(F.desc("guess"), "b")  # at most two pairs a band stand under an owner
     chosen = guessed.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PROPOSED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialise(_verified(chosen, docs, k, percent, id_col, text_col), "verified")
     components = connected_components(first.filter("ok"))
-    missing = _crossing(members, reps, components, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    small, large = crossing(members, components, reps.select("id", "n", "sketch"), _by_sketch(percent))
+    missing = _rough(sketched(small.join(first.select("a", "b"), ["a", "b"], "left_anti")), percent).select("a", "b")
+    missing = missing.unionByName(large.join(first.select("a", "b"), ["a", "b"], "left_anti")).distinct()
     second = materialise(_verified(missing, docs, k, percent, id_col, text_col).filter("ok"), "verified")
     if not second.isEmpty():
         components = connected_components(first.filter("ok").select("a", "b").unionByName(second.select("a", "b")))

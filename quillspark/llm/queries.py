@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, licenses, media, mixing, neardup, quality
+from . import bpe, licenses, media, mixing, neardup, quality, vectors
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), min_share=2e-5, keep=["doc_id"])
@@ -63,6 +67,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_scores": op4_quality_scores,
     "op5_mixing": op5_mixing,
     "op7_license_scan": op7_license_scan,
+    "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
