@@ -96,15 +96,17 @@ def map_text(
     added = [f.name for f in fields]
     lower = {a.lower() for a in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in lower]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    texts_at = kept.index(text_col) if text_col in kept else len(kept)
+    source = df.select([F.col(f"`{c}`") for c in kept] + ([F.col(f"`{text_col}`").alias("__text")] if texts_at == len(kept) else []))
+    carry = range(len(kept))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = kernel()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.num_columns - 1).to_pylist()]
-            carried = batch.select(range(batch.num_columns - 1))
+            texts = ["" if t is None else t for t in batch.column(texts_at).to_pylist()]
+            carried = batch.select(carry)
             for lo, hi in spans_by_size(texts):
                 made = apply(texts[lo:hi])
                 columns = [carried.column(i).slice(lo, hi - lo) for i in range(carried.num_columns)]

@@ -242,6 +242,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_co
     """The documents that aren't rejected, with their own columns."""
     p = p or Params()
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    source = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()] + [F.col("`text`")])
-    kept = score(source, fit(docs, labels, p, id_col), p, keep=list(own.values())).filter("predicted = 1")
+    source = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    kept = score(source, fit(docs, labels, p, id_col), p, own["text"], list(own.values())).filter("predicted = 1")
     return kept.select([F.col(n).alias(c) for c, n in own.items()])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, licenses, media, mixing, neardup, quality, vectors
+from . import bpe, chat, licenses, media, mixing, neardup, quality, vectors, warc
 from .common import table
 
 
@@ -39,10 +40,20 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, budget=0.5, powers=(0.7, 0.7, 0.7)).drop("text")
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"), min_bytes=0).drop("payload")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.render_perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",")
+    return views.select("conv_id", "perspective", "part", "n_rows", "n_messages", "n_trained", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
+
+
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +77,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_quality_scores": op4_quality_scores,
     "op5_mixing": op5_mixing,
+    "op6_warc_roundtrip": op6_warc_roundtrip,
     "op7_license_scan": op7_license_scan,
+    "op8_chat_perspectives": op8_chat_perspectives,
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
