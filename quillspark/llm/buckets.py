@@ -23,13 +23,13 @@ SALTS = 32
 #: Members of a block.
 BLOCK = 1024
 #: Buckets up to this size are joined with themselves.
-SMALL = 48
+SMALL = 16
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def shared_buckets(banded: DataFrame) -> DataFrame:
-    """(bucket, id) of the buckets with more than one member."""
+    """The rows (bucket, id, ...) of the buckets with more than one member."""
     counts = banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
     return materialise(banded.join(materialise(counts, "shared"), "bucket"), "members")
 
@@ -48,13 +48,14 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return pairs.filter("owner <> other").distinct()
 
 
-def crossing(members: DataFrame, components: DataFrame, payload: DataFrame, compare: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> tuple[DataFrame, DataFrame]:
+def crossing(members: DataFrame, components: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of different components in a bucket: all of small buckets, and what ``compare`` passes of large ones.
 
-    ``compare`` gets a block as a table with asks, id, c (component) and the payload's columns, and
-    yields the ids of pairs of one row that asks and one that doesn't.
+    ``payload`` gives columns for the ids (id) of large buckets. ``compare`` gets a block as a table with
+    asks, id, c (component), the members' and the payload's columns, and yields the ids of pairs of one
+    row that asks and one that doesn't.
     """
-    labelled = members.join(components.select("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    labelled = members.join(components.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     labelled = materialise(labelled, "labelled")
     parts = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("bucket").agg(F.sum("m").alias("members"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
@@ -64,11 +65,13 @@ def crossing(members: DataFrame, components: DataFrame, payload: DataFrame, comp
     one, two = few.filter("c <> main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx")), few.select("bucket", F.col("id").alias("y"), F.col("c").alias("cy"))
     small = one.join(two, "bucket").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     many = rows.filter(F.col("members") > SMALL)
+    more = [c for c in members.columns if c not in ("bucket", "id")]
     h = F.xxhash64("id", F.lit(1))
-    told = many.select("bucket", "id", "c", F.lit(False).alias("asks"), F.pmod(h, F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)).alias("i"))
-    asking = many.filter("c <> main").select("bucket", "id", "c", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), F.pmod(h, F.col("others")).alias("i"))
+    told = many.select("bucket", "id", "c", *more, F.lit(False).alias("asks"), F.pmod(h, F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)).alias("i"))
+    asking = many.filter("c <> main").select("bucket", "id", "c", *more, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), F.pmod(h, F.col("others")).alias("i"))
     dealt = told.unionByName(asking)
-    full = dealt.join(payload, "id").withColumn("block", F.xxhash64("bucket", "i", "j")).drop("bucket", "i", "j")
+    held = materialise(payload(many.select("id").distinct()), "payload")
+    full = dealt.join(held, "id").withColumn("block", F.xxhash64("bucket", "i", "j")).drop("bucket", "i", "j")
     large = in_blocks(full, compare)
     return small, large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -12,8 +12,9 @@ Documents of equal sets are one class from the start. Classes that share a band'
 bucket. No bucket's pairs are all compared on the plain: first, in each bucket, every class is
 paired with two random ones (large buckets in salted parts, whose leaders are paired again), and the
 verified pairs are joined to components. Any link still missing then crosses components. Only where a
-bucket holds several components, the members outside its largest one are compared by their sketches with all members of other components, in
-blocks of bounded size, so that no link of a bucket is lost; what passes is verified too.
+bucket holds several components, the members outside its largest one are compared with all members of other components, in
+blocks of bounded size, by sketches and then by full sets, so that no link of a bucket that joins components is lost; a block
+reports only links that join something.
 
 Edge cases: null and empty texts and those without words have the empty set (n_shingles 0) and link with nothing; a text with
 fewer words than a shingle has one shingle, all its words; rows of null id are returned with null component; rows that repeat an id
@@ -209,33 +210,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     return two.mapInArrow(run, schema)
 
 
-def _by_sketch(percent: int):
-    """Of one block's members the pairs that may be similar enough."""
+def _in_block(percent: int):
+    """Verified links between components of one block, enough to join what they join.
+
+    Pairs go through the sizes and the sketches first, most likely first; then the full sets of shingle
+    hashes are compared, unless the two are joined already. A pair is left to the first band that its sketches share, so no
+    pair is compared twice.
+    """
     floor = _floor(percent)
 
     def compare(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         asks = block.column("asks").to_numpy(zero_copy_only=False)
-        ids, comps, n = (block.column(c).to_numpy() for c in ("id", "c", "n"))
+        ids, comps, n, bands = (block.column(c).to_numpy() for c in ("id", "c", "n", "band"))
         sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        raw, sets = block.column("hashes"), {}
+
+        def full(row: int) -> set[int]:
+            if row not in sets:
+                sets[row] = set(np.frombuffer(raw[row].as_py(), np.uint64).tolist())
+            return sets[row]
+
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         ask, told = np.flatnonzero(asks), np.flatnonzero(~asks)
-        step = max(1, 4_000_000 // (REGISTERS * max(1, len(told))))
+        step = max(1, 2_000_000 // (REGISTERS * max(1, len(told))))
+        one_found, two_found = [], []
         for lo in range(0, len(ask), step):
             one = ask[lo : lo + step]
             most, least = np.maximum(n[one][:, None], n[told]), np.minimum(n[one][:, None], n[told])
             r, s = np.nonzero((comps[one][:, None] != comps[told]) & (100 * least >= percent * most))
-            ka, kb = sketch[one[r]], sketch[told[s]]
-            ok = likely(n[one[r]].astype(float), n[told[s]].astype(float), (ka > kb).sum(1), (ka < kb).sum(1), floor) if len(r) else np.zeros(0, bool)
-            yield ids[one[r[ok]]], ids[told[s[ok]]]
+            if not len(r):
+                continue
+            x, y = one[r], told[s]
+            ka, kb = sketch[x], sketch[y]
+            first = (ka == kb).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            more, less = (ka > kb).sum(1), (ka < kb).sum(1)
+            na, nb = n[x].astype(float), n[y].astype(float)
+            keep = np.flatnonzero((first == bands[x]) & likely(na, nb, more, less, floor))
+            keep = keep[np.argsort((more + less)[keep], kind="stable")]
+            for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                a, b = find(int(comps[i])), find(int(comps[j]))
+                if a != b:
+                    both = len(full(i) & full(j))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        root[a] = b
+                        one_found.append(ids[i])
+                        two_found.append(ids[j])
+        yield np.array(one_found, np.int64), np.array(two_found, np.int64)
 
     return compare
 
 
+def _with_hashes(rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n, sketch and the full set's shingle hashes of the wanted ids."""
+
+    def kernel():
+        own = Sketcher(k)
+        return lambda texts: [pa.array([own.hashes(t).tobytes() for t in texts], pa.binary())]
+
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(rows, "id")
+    return map_text(texts, kernel, [T.StructField("hashes", T.BinaryType())], keep=["id", "n", "sketch"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row; links need ``percent`` of Jaccard similarity."""
     every = materialise(sketches(docs, k, id_col, text_col), "sketches")
     classes = every.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("key", "r.id", "r.n", "r.sketch")
     reps = materialise(classes, "classes")
-    members = shared_buckets(reps.select(F.explode(_bands()).alias("bucket"), "id"))
+    members = shared_buckets(reps.select(F.posexplode(_bands()).alias("band", "bucket"), "id"))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         one = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -246,12 +293,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     chosen = guessed.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PROPOSED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialise(_verified(chosen, docs, k, percent, id_col, text_col), "verified")
     components = connected_components(first.filter("ok"))
-    small, large = crossing(members, components, reps.select("id", "n", "sketch"), _by_sketch(percent))
+    small, large = crossing(members, components, lambda ids: _with_hashes(reps.select("id", "n", "sketch").join(ids, "id"), docs, k, id_col, text_col), _in_block(percent))
     missing = _rough(sketched(small.join(first.select("a", "b"), ["a", "b"], "left_anti")), percent).select("a", "b")
-    missing = missing.unionByName(large.join(first.select("a", "b"), ["a", "b"], "left_anti")).distinct()
-    second = materialise(_verified(missing, docs, k, percent, id_col, text_col).filter("ok"), "verified")
+    second = materialise(_verified(missing, docs, k, percent, id_col, text_col).filter("ok").select("a", "b").unionByName(large), "verified")
     if not second.isEmpty():
-        components = connected_components(first.filter("ok").select("a", "b").unionByName(second.select("a", "b")))
+        components = connected_components(first.filter("ok").select("a", "b").unionByName(second))
     named = reps.select("key", "id").join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     named = materialise(named, "named")
     found = every.select("id", "n", "key").join(named, "key", "left")

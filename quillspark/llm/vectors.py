@@ -140,7 +140,7 @@ def near_vectors(rows: DataFrame, p: Params | None = None, id_col: str = "vec_id
             r, s = np.nonzero((vectors[part] @ vectors[two].T >= p.threshold) & (c[part][:, None] != c[two]))
             yield ids[part[r]], ids[two[s]]
 
-    small, large = crossing(members, components, classes.select("id", "v"), compare)
+    small, large = crossing(members, components, lambda ids: classes.select("id", "v").join(ids, "id"), compare)
     second = materialise(_verified(small, classes, p.threshold).unionByName(large).distinct(), "verified")
     if not second.isEmpty():
         components = connected_components(first.unionByName(second))
