@@ -1,6 +1,6 @@
 """Chunking: one document row to many chunk rows, by interchangeable strategies.
 
-``fixed`` and ``sliding_window`` are column expressions. The other strategies run a kernel in one Arrow
+``fixed`` is a column expression. The other strategies run a kernel in one Arrow
 pass over whole texts; no strategy shuffles. Kernels are registered by name, so users can add their own.
 """
 
@@ -280,10 +280,6 @@ def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | Non
     check_params(name, params)
     if name == "fixed":
         return _native(base, X.fixed_spans(F.col("text"), params["chunk_size"], params["overlap"]), name)
-    if name == "sliding_window":
-        w, size = F.col("__words"), params["window_size"]
-        cut = F.transform(X.sliding_starts(w, size, params["step"]), lambda f: F.struct(F.element_at(w, f + 1)["start"].alias("start"), F.element_at(w, F.least(f + size, F.size(w)))["end"].alias("end")))
-        return _native(base.withColumn("__words", X.word_spans(F.col("text"))), cut, name)
     _, found = find(name)
     if found.needs_provider:
         if provider is None:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A span is relevant if it holds this share of a passage, or the passage this share of it.
 RELEVANT = 0.5
@@ -22,6 +26,28 @@ def locate(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return first.select("question_id", "position", "f.document_id", (F.col("f.at") - 1).alias("e_start"), (F.col("f.at") - 1 + F.col("f.n")).alias("e_end"))
 
 
+def locate_anywhere(passages: DataFrame, documents: DataFrame, limit: int = 10_000) -> DataFrame:
+    """question_id, position 0, document_id, e_start, e_end: the first place of each passage in every document that holds it.
+
+    The passages (question_id, passage) go to all tasks, behind a check of their number; documents are read once and not shuffled.
+    """
+    held = [(r.question_id, r.passage) for r in passages.select("question_id", "passage").limit(limit + 1).collect() if r.passage]
+    if len(held) > limit:
+        raise ValueError(f"more than {limit} passages at once: split them")
+    shared = documents.sparkSession.sparkContext.broadcast(held)
+    schema = T.StructType([T.StructField("question_id", passages.schema["question_id"].dataType), T.StructField("document_id", T.StringType()), T.StructField("e_start", T.IntegerType()), T.StructField("e_end", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(q, d, at, at + len(p)) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, p in shared.value if (at := (text or "").find(p)) >= 0]
+            if found:
+                columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) if i < 2 else pa.array(c, pa.int32()) for i, c in enumerate(columns)], names=schema.names)
+
+    rows = documents.select(F.col("document_id").cast("string"), "text").mapInArrow(run, schema)
+    return rows.select("question_id", F.lit(0).alias("position"), "document_id", "e_start", "e_end")
+
+
 def overlaps(spans: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
     """Spans joined to the passages they share characters with, and how many."""
     keys = [k for k in (*by, "document_id") if k in evidence.columns]

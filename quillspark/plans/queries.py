@@ -66,12 +66,12 @@ def clean_text_documents(spark, sf_dir):
     "a AS (SELECT doc_id, replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') AS t FROM n), "
     "b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\\x{E000}-\\x{F8FF}]', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') AS t FROM a), "
     "c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM b) "
-    "SELECT doc_id, length(t) AS n, md5(regexp_replace(t, '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g')) AS digest FROM c"
+    "SELECT doc_id, length(u) AS n, md5(u) AS digest FROM (SELECT doc_id, regexp_replace(t, '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g') AS u FROM c)"
 )
 def clean_text_noisy(spark, sf_dir):
     cleaned = X.clean_text(_NOISE)
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", (F.length(cleaned) + F.lit(1)).cast("long").alias("n"), F.md5(cleaned.cast("binary")).alias("digest"))
+    return docs.select("doc_id", F.length(cleaned).cast("long").alias("n"), F.md5(cleaned.cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text)[1:16] || '-1' AS document_id, sha256(text)[1:16] AS file_key, sha256(text) AS file_hash FROM documents")
@@ -101,7 +101,7 @@ def duplicate_of(spark, sf_dir):
 @query("SELECT doc_id, coalesce('page ' || CASE WHEN doc_id % 3 = 0 THEN doc_id // 3 END, source) AS label FROM documents")
 def document_labels(spark, sf_dir):
     page = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") / 3).cast("long"))
-    return _table(spark, sf_dir, "documents").select("doc_id", X.document_label(page, F.col("source")).alias("label"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.document_label(F.col("source"), page).alias("label"))
 
 
 # --- chunks ------------------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def chunk_fixed_1000_100(spark, sf_dir):
 
 
 _WINDOWS = (
-    "p AS (SELECT key, text, regexp_extract_all(text, '\\s*\\S+') AS r FROM d), q AS (SELECT key, text, r, list_transform(r, x -> length(x)) AS l, list_transform(r, x -> length(ltrim(x, chr(32) || chr(10) || chr(9)))) AS w, len(r) AS n FROM p), "
+    "p AS (SELECT key, text, regexp_extract_all(text, '\\s*\\S+') AS r FROM d), q AS (SELECT key, text, r, list_transform(r, lambda x: length(x)) AS l, list_transform(r, lambda x: length(ltrim(x, chr(32) || chr(10) || chr(9)))) AS w, len(r) AS n FROM p), "
     "e AS (SELECT key, text, n, w, unnest(l) AS l1, unnest(w) AS w1, unnest(range(0, n)) AS i FROM q), f AS (SELECT key, text, n, i, sum(l1) OVER (PARTITION BY key ORDER BY i) AS hi, w1 FROM e), "
     "s AS (SELECT DISTINCT key, n, unnest(list_distinct(list_append(range(0, greatest(n - 100, 0) + 1, 75), greatest(n - 100, 0)))) AS b FROM q), k AS (SELECT key, n, b, row_number() OVER (PARTITION BY key ORDER BY b) - 1 AS c FROM s), "
     "o AS (SELECT k.key, c, x.hi - x.w1 AS a, y.hi AS z, x.text FROM k JOIN f x ON x.key = k.key AND x.i = k.b JOIN f y ON y.key = k.key AND y.i = least(k.b + 100, k.n) - 1) "
@@ -252,7 +252,7 @@ def semantic_groups(spark, sf_dir):
     return marked.withColumn("grp", grp.cast("long")).groupBy("label", "grp").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), b AS (SELECT doc_id, md5(w) AS h FROM w), c AS (SELECT doc_id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 512 AS INT) AS bucket FROM b) SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) + CASE WHEN bucket = 0 THEN 0.001 ELSE 0 END AS value FROM c GROUP BY ALL")
+@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), b AS (SELECT doc_id, md5(w) AS h FROM w), c AS (SELECT doc_id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 512 AS INT) AS bucket FROM b) SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) + CASE WHEN bucket = 0 THEN 0.001 ELSE 0 END AS value FROM c GROUP BY doc_id, bucket")
 def hash_embedding(spark, sf_dir):
     """The hashing embedding's components that words fill, for every document."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(X.hash_buckets(F.col("text"), 512)).alias("bucket"))
@@ -444,20 +444,9 @@ def tenant_documents(spark, sf_dir):
 
 
 def _gold(spark, sf_dir) -> DataFrame:
-    """Benchmark passages where documents hold them: question_id, position, document_id, e_start, e_end.
-
-    Passages and documents meet on their first words, so texts are only searched where that can succeed.
-    """
-    words = 5
-    head = lambda t: F.array_join(F.slice(F.split(t, r"\s+"), 1, words), " ")
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), head(F.col("text")).alias("head"))
-    docs = _docs(spark, sf_dir)
-    tokens = F.split("text", r"\s+")
-    heads = docs.select("document_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, words), " ")))).alias("head"))
-    near = heads.join(items, "head").select("document_id", "item_id", "passage").distinct()
-    at = F.instr(F.col("text"), F.col("passage"))
-    found = near.join(docs.select("document_id", "text"), "document_id").withColumn("at", at).filter("at > 0")
-    return found.select(F.col("item_id").alias("question_id"), F.lit(0).alias("position"), "document_id", (F.col("at") - 1).alias("e_start"), (F.col("at") - 1 + F.length("passage")).alias("e_end"))
+    """Benchmark passages where documents hold them: question_id, position, document_id, e_start, e_end."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
+    return V.locate_anywhere(items, _docs(spark, sf_dir))
 
 
 _GOLD = "g AS (SELECT b.item_id AS question_id, CAST(d.doc_id AS VARCHAR) AS document_id, instr(d.text, b.text) - 1 AS e_start, instr(d.text, b.text) - 1 + length(b.text) AS e_end FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0)"
