@@ -53,7 +53,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- texts and identities ----------------------------------------------------------------------
 
-_NOISE = F.concat(F.lit("\r\n  \u0007"), F.col("text"), F.lit("\t\t x\u000b \n\n\n\n\r\ry \u001f   "))
+def _noisy() -> Column:
+    """The text with what cleaning removes around it."""
+    return F.concat(F.lit("\r\n  \u0007"), F.col("text"), F.lit("\t\t x\u000b \n\n\n\n\r\ry \u001f   "))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g') AS text FROM documents")
@@ -69,7 +71,7 @@ def clean_text_documents(spark, sf_dir):
     "SELECT doc_id, length(u) AS n, md5(u) AS digest FROM (SELECT doc_id, regexp_replace(t, '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g') AS u FROM c)"
 )
 def clean_text_noisy(spark, sf_dir):
-    cleaned = X.clean_text(_NOISE)
+    cleaned = X.clean_text(_noisy())
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.length(cleaned).cast("long").alias("n"), F.md5(cleaned.cast("binary")).alias("digest"))
 

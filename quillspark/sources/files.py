@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import hadoop_path
 from .parsers import Parser, parsers
 
 # Types by extension and by MIME type, and what a sidecar may say.
@@ -102,6 +103,14 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter(~F.col("name").startswith(".") & ~F.lower("name").endswith(SIDECAR))
 
 
+def empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and name of the folder's files without content, which Spark's source leaves out."""
+    fs, where = hadoop_path(spark, folder)
+    found = [(str(s.getPath()), s.getPath().getName()) for s in fs.listStatus(where) if s.isFile() and s.getLen() == 0]
+    rows = [r for r in found if not r[1].startswith(".") and not r[1].lower().endswith(SIDECAR)]
+    return spark.createDataFrame(rows, "path string, name string")
+
+
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """stem (path without suffix), side (the fields) and side_error of each sidecar file."""
     found = spark.read.format("binaryFile").load(folder).filter(F.lower(file_name(F.col("path"))).endswith(SIDECAR))
@@ -172,7 +181,9 @@ def ingest(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, registr
     counts = documents.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n"))
     read = whole.join(counts, "path", "left").select("path", "name", F.col("kind").alias("source_type"), "file_hash", F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("documents"), "error")
     failed = checked.filter("early IS NOT NULL").select("path", "name", F.col("kind").alias("source_type"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("long").alias("documents"), F.col("early").alias("error"))
-    return documents, read.unionByName(failed)
+    none = empty_files(spark, folder)
+    empty = none.select("path", "name", file_type(F.col("name")).alias("source_type"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("long").alias("documents"), size_error(F.col("name"), F.lit(0)).alias("error"))
+    return documents, read.unionByName(failed).unionByName(empty)
 
 
 def render_rows(table: DataFrame) -> Column:
