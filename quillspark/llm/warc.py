@@ -186,7 +186,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return out.select(
         number("record_id").alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), F.regexp_extract(head, r"Content-Length: ([0-9]+)", 1).cast("long")).alias("payload_bytes"),
-        F.coalesce(base32_sha1(F.col("payload")), F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"), F.col("kind").alias("record_type"),
+        F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"), F.col("kind").alias("record_type"),
         number("refers_to").alias("refers_to"), "payload",
     )
 
