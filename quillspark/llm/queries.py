@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, licenses, media, mixing, neardup, quality, vectors, warc
+from . import bpe, chat, licenses, media, mixing, neardup, oracle, quality, vectors, warc
 from .common import table
 
 
@@ -86,4 +86,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op6_warc_roundtrip": oracle.WARC,
+    "op8_chat_perspectives": oracle.CHATS,
+    "op9_embedding_near_duplicates": oracle.VECTORS,
+}
