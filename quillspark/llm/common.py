@@ -7,6 +7,7 @@ the folder named by ``spark.checkpoint.dir``, which survives the loss of an exec
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,11 +44,18 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame once and read it back: lineage is cut, and columns can be pruned."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
