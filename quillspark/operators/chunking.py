@@ -22,6 +22,7 @@ from ..functions import text as X
 from ..functions.embedding import Provider
 from ..functions.semantic import THRESHOLDS, semantic_spans
 from ..functions.tokens import Tokenizer, token_spans
+from ..session import spread
 
 _KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 CHUNK = T.StructType([
@@ -335,7 +336,8 @@ def _arrow(base: DataFrame, plans: list[tuple[str, str, Kernel, dict[str, Any]]]
             if held:
                 yield _batch(held, columns)
 
-    return base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route").mapInArrow(run, CHUNK)
+    rows = base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route")
+    return spread(rows).mapInArrow(run, CHUNK)
 
 
 def _batch(rows: list[tuple], columns: list[pa.Field]) -> pa.RecordBatch:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: A span is relevant if it holds this share of a passage, or the passage this share of it.
 RELEVANT = 0.5
 #: A passage is found if this share of it was delivered.
@@ -44,7 +46,7 @@ def locate_anywhere(passages: DataFrame, documents: DataFrame, limit: int = 10_0
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i < 2 else pa.array(c, pa.int32()) for i, c in enumerate(columns)], names=schema.names)
 
-    rows = documents.select(F.col("document_id").cast("string"), "text").mapInArrow(run, schema)
+    rows = spread(documents.select(F.col("document_id").cast("string"), "text")).mapInArrow(run, schema)
     return rows.select("question_id", F.lit(0).alias("position"), "document_id", "e_start", "e_end")
 
 

@@ -19,7 +19,7 @@ from ..operators import evaluation as V
 from ..operators import retrieval as R
 from ..operators import store as K
 from ..operators.indexing import duplicates, version_history
-from ..session import ship
+from ..session import ship, spread
 from ..sources import files as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +257,7 @@ def semantic_groups(spark, sf_dir):
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), b AS (SELECT doc_id, md5(w) AS h FROM w), c AS (SELECT doc_id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 512 AS INT) AS bucket FROM b) SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) + CASE WHEN bucket = 0 THEN 0.001 ELSE 0 END AS value FROM c GROUP BY doc_id, bucket")
 def hash_embedding(spark, sf_dir):
     """The hashing embedding's components that words fill, for every document."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(X.hash_buckets(F.col("text"), 512)).alias("bucket"))
+    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.hash_buckets(F.col("text"), 512)).alias("bucket"))
     return rows.groupBy("doc_id", "bucket").agg(F.count("*").alias("n")).select("doc_id", "bucket", (F.col("n").cast("double") + F.when(F.col("bucket") == 0, 0.001).otherwise(0.0)).alias("value"))
 
 

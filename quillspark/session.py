@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -40,6 +40,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores if they come from fewer files than there are cores; large inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = len(rows._jdf.inputFiles())
+    return rows.repartition(cores) if 0 < files < cores else rows
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, where = hadoop_path(spark, path)
     out = fs.create(where, True)
