@@ -41,7 +41,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.roundtrip(table(spark, sf_dir, "pages"), min_bytes=0).drop("payload")
+    return warc.roundtrip(table(spark, sf_dir, "pages"), min_bytes=0, with_payload=False).drop("payload")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ rows that repeat the largest id with the same payload are all responses; empty t
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +44,15 @@ NAME = "urn:page:"
 
 def base32_sha1(payload: F.Column) -> F.Column:
     """160 bits as 32 letters, from eight groups of five hexadecimal digits."""
-    digits = F.sha1(payload)
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+
+    def groups(digits: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
 
     def letter(v: F.Column, shift: int) -> F.Column:
         return F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1))
 
-    return F.array_join(F.transform(groups, lambda v: F.concat(*[letter(v, s) for s in (15, 10, 5, 0)])), "")
+    # as a lambda's variable the hash is computed once
+    return F.transform(F.array(F.sha1(payload)), lambda d: F.array_join(F.transform(groups(d), lambda v: F.concat(*[letter(v, s) for s in (15, 10, 5, 0)])), ""))[0]
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -84,7 +89,16 @@ def _header(data: bytes, at: int) -> tuple[int, dict[str, str]] | None:
     return (end + 4, fields) if fields.get("content-length", "").isdigit() else None
 
 
-CANDIDATE = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("next", T.LongType()), T.StructField("leaves", T.LongType()), T.StructField("block", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("refers_to", T.StringType())])
+CANDIDATE = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("next", T.LongType()), T.StructField("leaves", T.LongType()), T.StructField("block", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType())])
+
+
+def _payload(kind: str | None, digest: str | None, block: bytes) -> tuple[int | None, str | None]:
+    """Size and digest of the payload of a whole block; a revisit records those of the payload that it leaves out."""
+    head, blank, payload = block.partition(b"\r\n\r\n")
+    if kind == "response":
+        return len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    size = re.search(rb"(?i)content-length: *([0-9]+)", head)
+    return int(size[1]) if size else None, (digest or "").removeprefix("sha1:")
 
 
 def follow(at: np.ndarray, following: np.ndarray, end: int) -> np.ndarray:
@@ -120,7 +134,11 @@ def candidates(files: DataFrame) -> DataFrame:
                     head = _header(data, at)
                     if head:
                         block, fields = head
-                        found.append((base + at, base + block + int(fields["content-length"]) + 4, base + block, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-payload-digest"), fields.get("warc-refers-to")))
+                        stop = block + int(fields["content-length"])
+                        kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest")
+                        # a block that reaches beyond this range's bytes is read later
+                        size, sha = _payload(kind, digest, data[block:stop]) if stop <= len(data) else (None, None)
+                        found.append((base + at, base + stop + 4, base + block, kind, fields.get("warc-record-id"), digest, fields.get("warc-refers-to"), size, sha))
                     at = data.find(MAGIC, at + 1)
                 if not found:
                     continue
@@ -145,8 +163,11 @@ def _reached(found: DataFrame, files: DataFrame, most_parts: int) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of every record."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of every record.
+
+    Without payloads only records that reach far over a range are cut out of their files again.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("path").alias("file"), "length", "content")
     sizes = materialise(files.filter("length > 0").select("file", "length"), "files")
     found = materialise(candidates(files), "candidates")
@@ -175,25 +196,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     records = found.join(lists.select("file", "part", "entry", "length", "c").mapInArrow(walk, schema), ["file", "at"])
     records = materialise(records.drop("part", "leaves"), "records")
-    per_file = records.groupBy("file").agg(F.collect_list(F.struct("block", "next", "kind", "record_id", "digest", "refers_to")).alias("r"))
+    number = lambda c: F.regexp_extract(c, rf"<{NAME}(-?\d+)>", 1).try_cast("bigint")
+    ids = [number("record_id").alias("page_id"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to")]
+    order = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    near = records.filter("n IS NOT NULL").select(*ids, F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.lit(None).cast("binary").alias("payload")).select(order)
+    rest = records if with_payload else records.filter("n IS NULL")
+    if not with_payload and rest.isEmpty():
+        return near
+    per_file = rest.groupBy("file").agg(F.collect_list(F.struct("block", "next", "kind", "record_id", "digest", "refers_to")).alias("r"))
     # The block's own header ends at the first blank line; what follows is the payload.
     whole = files.join(materialise(per_file, "per_file"), "file").select(F.explode(F.transform("r", lambda r: F.struct(r.alias("r"), F.substring(F.col("content"), (r["block"] + 1).cast("int"), (r["next"] - 4 - r["block"]).cast("int")).alias("b")))).alias("x")).select("x.r.*", F.col("x.b").alias("b"))
     blank = F.position(F.lit(b"\r\n\r\n"), F.col("b")).cast("int")
     head = F.decode(F.substring(F.col("b"), F.lit(1), blank), "ISO-8859-1")
-    number = lambda c: F.regexp_extract(c, rf"<{NAME}(-?\d+)>", 1).try_cast("bigint")
     payload = F.when(F.col("kind") == "response", F.substring(F.col("b"), blank + 4, F.octet_length("b")))
-    out = whole.withColumn("payload", payload)
-    return out.select(
-        number("record_id").alias("page_id"),
-        F.coalesce(F.octet_length("payload").cast("long"), F.regexp_extract(head, r"Content-Length: ([0-9]+)", 1).cast("long")).alias("payload_bytes"),
-        F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"), F.col("kind").alias("record_type"),
-        number("refers_to").alias("refers_to"), "payload",
-    )
+    far = whole.withColumn("payload", payload).select(
+        *ids, F.coalesce(F.octet_length("payload").cast("long"), F.regexp_extract(head, r"Content-Length: ([0-9]+)", 1).cast("long")).alias("payload_bytes"),
+        F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"), "payload",
+    ).select(order)
+    return far if with_payload else near.unionByName(far)
 
 
-def roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def roundtrip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = True) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return read_archives(spark, path)
+    return read_archives(spark, path, with_payload)
