@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import in_blocks, spread
 
 #: A span is relevant if it holds this share of a passage, or the passage this share of it.
 RELEVANT = 0.5
@@ -31,22 +32,27 @@ def locate(evidence: DataFrame, documents: DataFrame) -> DataFrame:
 def locate_anywhere(passages: DataFrame, documents: DataFrame, limit: int = 10_000) -> DataFrame:
     """question_id, position 0, document_id, e_start, e_end: the first place of each passage in every document that holds it.
 
-    The passages (question_id, passage) go to all tasks, behind a check of their number; documents are read once and not shuffled.
+    Passages (question_id, passage) that are null or empty are in no document. The others go to all tasks in
+    blocks of ``limit``; documents are read once for each block and not shuffled.
     """
-    held = [(r.question_id, r.passage) for r in passages.select("question_id", "passage").limit(limit + 1).collect() if r.passage]
-    if len(held) > limit:
-        raise ValueError(f"more than {limit} passages at once: split them")
-    shared = documents.sparkSession.sparkContext.broadcast(held)
+    asked = passages.select("question_id", "passage").filter(F.length("passage") > 0)
     schema = T.StructType([T.StructField("question_id", passages.schema["question_id"].dataType), T.StructField("document_id", T.StringType()), T.StructField("e_start", T.IntegerType()), T.StructField("e_end", T.IntegerType())])
+    texts = spread(documents.select(F.col("document_id").cast("string"), "text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(q, d, at, at + len(p)) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, p in shared.value if (at := (text or "").find(p)) >= 0]
-            if found:
-                columns = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i < 2 else pa.array(c, pa.int32()) for i, c in enumerate(columns)], names=schema.names)
+    def finder(held: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = documents.sparkSession.sparkContext.broadcast(held)
 
-    rows = spread(documents.select(F.col("document_id").cast("string"), "text")).mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(q, d, at, at + len(p)) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, p in shared.value if (at := (text or "").find(p)) >= 0]
+                if found:
+                    columns = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if i < 2 else pa.array(c, pa.int32()) for i, c in enumerate(columns)], names=schema.names)
+
+        return run
+
+    parts = [texts.mapInArrow(finder([tuple(r) for r in block]), schema) for block in in_blocks(asked, limit)]
+    rows = reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
     return rows.select("question_id", F.lit(0).alias("position"), "document_id", "e_start", "e_end")
 
 

@@ -7,9 +7,11 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -47,6 +49,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if 0 < files < cores else rows
 
 
+def in_blocks(rows: DataFrame, size: int) -> Iterator[list[Row]]:
+    """All rows, in lists of at most ``size``; the driver fetches one partition at a time."""
+    fetched = rows.toLocalIterator()
+    while block := list(islice(fetched, size)):
+        yield block
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, where = hadoop_path(spark, path)
     out = fs.create(where, True)

@@ -169,6 +169,17 @@ def test_metrics(spark):
     assert r.completeness == pytest.approx(90 / 140) and r.evidence_recall == 0.5 and r.complete_answer == 0
 
 
+def test_passages_are_located_in_blocks(spark):
+    """More passages than a block holds, null and empty ones among them: none is lost, none raises."""
+    passages = spark.createDataFrame([(0, None), (1, ""), (2, "cat"), (3, "dog"), (4, "fish"), (5, "owl"), (6, "cat")], "question_id long, passage string").coalesce(1)
+    docs = spark.createDataFrame([("a", "a cat, a dog"), ("b", "owl and cat"), ("c", None)], "document_id string, text string")
+    want = {(2, "a", 2, 5), (6, "a", 2, 5), (3, "a", 9, 12), (5, "b", 0, 3), (2, "b", 8, 11), (6, "b", 8, 11)}
+    for limit in (1, 2, 3, 5, 10_000):
+        got = [(r.question_id, r.document_id, r.e_start, r.e_end) for r in V.locate_anywhere(passages, docs, limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert V.locate_anywhere(passages.filter("question_id < 2"), docs).count() == 0
+
+
 def test_experiment(spark, tmp_path):
     corpus = tmp_path / "corpus"
     corpus.mkdir()
