@@ -59,6 +59,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that was materialised and is no longer read."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def publish(spark: SparkSession, data: bytes, suffix: str) -> str:
     """Give every present and later executor a local copy of a small file; returns its SparkFiles name."""
     name = f"{hashlib.sha256(data).hexdigest()[:24]}{suffix}"

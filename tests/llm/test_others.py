@@ -133,6 +133,20 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_with_capped_cells(spark):
+    """Both ways of raking sweep until the margins hold, though capped cells make that take more than 50 sweeps."""
+    tokens = [32, 21, 5, 20, 2, 1, 46, 52]
+    rows = [(i, "w " * n, f"s{i // 4}", f"l{i // 2 % 2}", f"t{i % 2}") for i, n in enumerate(tokens)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    probs = lambda **more: {r.doc_id: r.prob for r in mixing.mix(docs, 0.7, (0.5, 0.5, 0.5), topic=F.col("t"), **more).collect()}
+    one, many = probs(), probs(local_cells=1)
+    assert sum(p == 1 for p in one.values()) == 2
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-7
+    for cells in (1, 100):
+        with pytest.warns(UserWarning, match="margins aren't met"):
+            probs(local_cells=cells, sweeps=2)
+
+
 def test_warc_roundtrip(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 700)
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
