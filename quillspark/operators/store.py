@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import hadoop_path, write_bytes
+from ..session import hadoop_path, in_blocks, write_bytes
 
 _STRINGS = "chunk_id document_id tenant_id filename previous_version source_type mime_type file_hash title author date department category encoding chunk_strategy parent_id context_id context_text section_path text".split()
 _INTS = "page version page_count row_count column_count chunk_start chunk_end chunk_level".split()
@@ -147,37 +148,38 @@ def top_k(rows: DataFrame, query: list[float], k: int, filters: dict[str, Any] |
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))  # k rows
 
 
-def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", blocks: int = 16) -> DataFrame:
+def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", blocks: int = 16, size: int = 10_000) -> DataFrame:
     """The k nearest rows of every query (query_id, query): a stated query set against all rows, in blocks.
 
-    Queries go out in one broadcast if there are at most 10,000, which is checked. Each task multiplies
+    Queries go out in blocks of ``size``, one broadcast and one pass over the rows for each. Each task multiplies
     whole batches and keeps its own best k of each query, so k rows per query and task are shuffled.
     """
     import numpy as np
     import pyarrow as pa
 
-    held = queries.select("query_id", "query").limit(10_001).collect()
-    if len(held) > 10_000:
-        raise ValueError("more than 10,000 queries at once: split them")
-    names = [r.query_id for r in held]
-    matrix = np.array([r.query for r in held], np.float64)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(held) else matrix
-    shared = rows.sparkSession.sparkContext.broadcast((names, matrix))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
-    def run(batches):
-        names, matrix = shared.value
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-            ids = batch.column(0)
-            for lo in range(0, len(names), 256):
-                scores = matrix[lo : lo + 256] @ flat.T
-                for at, row in enumerate(scores):
-                    cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    take = np.flatnonzero(row >= cut)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + at]] * len(take)), ids.take(pa.array(take)), pa.array(row[take])], names=schema.names)
-
-    best = rows.select(id_col, vec_col).filter(F.size(vec_col) == (matrix.shape[1] if len(held) else 0)).mapInArrow(run, schema)
+    def against(held: list) -> DataFrame:
+        matrix = np.array([r.query for r in held], np.float64)
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        shared = rows.sparkSession.sparkContext.broadcast(([r.query_id for r in held], matrix))
+
+        def run(batches):
+            names, matrix = shared.value
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+                ids = batch.column(0)
+                for lo in range(0, len(names), 256):
+                    scores = matrix[lo : lo + 256] @ flat.T
+                    for at, row in enumerate(scores):
+                        cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        take = np.flatnonzero(row >= cut)
+                        yield pa.RecordBatch.from_arrays([pa.array([names[lo + at]] * len(take)), ids.take(pa.array(take)), pa.array(row[take])], names=schema.names)
+
+        return rows.select(id_col, vec_col).filter(F.size(vec_col) == matrix.shape[1]).mapInArrow(run, schema)
+
+    parts = [against(held) for held in in_blocks(queries.select("query_id", "query"), size)]
+    best = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
 from quillspark.operators.indexing import index, replay
 from quillspark.operators.retrieval import NO_CONTEXT, Answerer, Retriever, expand_to_context, prompt
-from quillspark.operators.store import Store, store_name, top_k
+from quillspark.operators.store import Store, store_name, top_k, top_k_batch
 from quillspark.plans import experiment
 from quillspark.plans.app import question_loop
 from quillspark.plans.report import clip, clip_left
@@ -124,6 +125,20 @@ def test_search_filters_and_changes(spark, tmp_path):
     assert store_name("fixed", {"chunk_size": 500, "overlap": 50}) == "vector_store" and store_name("token", {}).startswith("vector_store.token-")
 
 
+def test_top_k_of_more_queries_than_a_block(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(10_050, 3)).astype(np.float32)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "query_id long, query array<float>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:40])], "chunk_id long, embedding array<float>")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    want = np.argsort(-(unit @ unit[:40].T), axis=1)[:, :3]
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in top_k_batch(rows, queries, 3).collect()}
+    assert got == {(i, n + 1): j for i, found in enumerate(want.tolist()) for n, j in enumerate(found)}
+    few = queries.filter("query_id < 10")
+    assert sorted(top_k_batch(rows, few, 3, size=4).collect()) == sorted(top_k_batch(rows, few, 3).collect())
+    assert top_k_batch(rows, queries.limit(0), 3).count() == 0
+
+
 def test_answers(spark, tmp_path):
     class Echo:
         def generate(self, text):
