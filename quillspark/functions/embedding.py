@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -18,6 +19,11 @@ class Provider(Protocol):
     def embed_batch(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "little")
+
+
 class HashProvider:
     """Word counts by hash bucket, for work without a model; the first component is never zero."""
 
@@ -29,7 +35,7 @@ class HashProvider:
         out[:, 0] = 0.001
         for row, text in enumerate(texts):
             for word in re.findall(r"\w+", text.lower()):
-                out[row, int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "little") % self.size] += 1
+                out[row, _hash(word) % self.size] += 1
         return out
 
     def embed(self, text: str) -> np.ndarray:

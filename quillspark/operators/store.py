@@ -171,7 +171,7 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
                 flat /= np.linalg.norm(flat, axis=1, keepdims=True)
                 ids = batch.column(0)
                 for lo in range(0, len(names), 256):
-                    scores = matrix[lo : lo + 256] @ flat.T
+                    scores = np.round(matrix[lo : lo + 256] @ flat.T, 12)  # equal vectors tie, wherever they stand in a batch
                     for at, row in enumerate(scores):
                         cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                         take = np.flatnonzero(row >= cut)

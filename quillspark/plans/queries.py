@@ -18,9 +18,11 @@ from ..operators import chunking as C
 from ..operators import evaluation as V
 from ..operators import retrieval as R
 from ..operators import store as K
+from ..operators.embed import embed
 from ..operators.indexing import duplicates, version_history
 from ..session import ship, spread
 from ..sources import files as S
+from . import experiment as E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -525,6 +527,47 @@ def best_by_k(spark, sf_dir):
     return V.best(means, "reciprocal_rank", ["k"])
 
 
+def _searched(spark, sf_dir) -> DataFrame:
+    """The seven metrics of every strategy, benchmark item and k: all retrievable chunks of all documents compete by similarity.
+
+    An item that no document holds has one passage that nothing covers, so it counts with zeros.
+    """
+    provider, ks = HashProvider(512), [1, 3, 5]
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("csv", "json", "markdown", "html", "docx", "txt", "pdf")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    docs = spread(_docs(spark, sf_dir)).withColumn("source_type", kinds)
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
+    asked = embed(items, provider, "passage", name="query").select(F.col("question_id").alias("query_id"), "query")
+    gold = _gold(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id"))).persist()
+    nowhere = items.join(gold, "question_id", "left_anti").select("question_id", F.lit(1).alias("position"), F.lit("").alias("document_id"), F.lit(0).alias("e_start"), F.lit(1).alias("e_end"))
+    spans = ["label", "question_id", "rank", "chunk_id", "document_id", "start", "end"]
+    ranked = None
+    for name in C.strategies():
+        rows = C.chunk(docs, name, provider=provider).filter("retrievable").select(F.struct(*spans[3:]).alias("at"), "text")
+        found = K.top_k_batch(embed(rows, provider), asked, max(ks), id_col="at")
+        found = found.select(F.lit(name).alias("label"), F.col("query_id").alias("question_id"), "rank", "at.*")
+        ranked = found if ranked is None else ranked.unionByName(found)
+    ranked = ranked.persist()  # a few rows for each item
+    wide = [n for n in C.strategies() if n != "metadata_aware" and C.find(n)[1].provides_context]
+    around = E.delivered(ranked.filter(F.col("label").isin(wide)).select(*spans[:4]), E.chunks_by_label(docs, [E.Spec(n, n) for n in wide], provider), True)
+    given = ranked.filter(~F.col("label").isin(wide)).unionByName(around.select(*spans)).persist()
+    return V.question_metrics(ranked, given, gold.unionByName(nowhere, allowMissingColumns=True), ks, ["label"])
+
+
+@query()
+def search_question_metrics(spark, sf_dir):
+    return _searched(spark, sf_dir).select("label", "question_id", "k", *[F.round(F.col(m).cast("double"), 6).alias(m) for m in V.METRICS])
+
+
+@query()
+def search_metrics_by_strategy(spark, sf_dir):
+    return V.averages(_searched(spark, sf_dir), ["label", "k"]).select("label", "k", *[F.round(m, 6).alias(m) for m in V.METRICS])
+
+
+@query()
+def search_best_by_k(spark, sf_dir):
+    return V.best(QUERIES["search_metrics_by_strategy"](spark, sf_dir), "reciprocal_rank", ["k"])
+
+
 # --- the flagship ------------------------------------------------------------------------------
 
 

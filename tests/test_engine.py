@@ -195,6 +195,48 @@ def test_passages_are_located_in_blocks(spark):
     assert V.locate_anywhere(passages.filter("question_id < 2"), docs).count() == 0
 
 
+def _by_hand(chunks, items, texts, k):
+    """The seven metrics of one strategy by brute force: {item: values}."""
+    provider, own, out = HashProvider(512), [c for c in chunks if c.retrievable], {}
+    spans = {c.chunk_id: (c.document_id, c.start, c.end) for c in chunks}
+    unit = lambda rows: (v := provider.embed_batch(rows).astype(float)) / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.round(unit(list(items.values())) @ unit([c.text for c in own]).T, 12)
+    for (item, passage), row in zip(items.items(), scores, strict=True):
+        top = [own[j] for j in sorted(range(len(own)), key=lambda j: (-row[j], own[j].chunk_id))[:k]]
+        gold = [(d, at, at + len(passage)) for d, t in texts.items() if (at := t.find(passage)) >= 0]
+        shared = lambda c, g: len(set(range(c.start, c.end)) & set(range(*g[1:]))) if c.document_id == g[0] else 0
+        rel = [any((n := shared(c, g)) and (n >= 0.5 * (g[2] - g[1]) or n >= 0.5 * (c.end - c.start)) for g in gold) for c in top]
+        given = {spans[c.context_id] if c.context_id else (c.document_id, c.start, c.end) for c in top}
+        covered = [len({x for d, a, b in given if d == g[0] for x in range(a, b)} & set(range(*g[1:]))) for g in gold]
+        found = [n >= 0.8 * (g[2] - g[1]) for n, g in zip(covered, gold, strict=True)]
+        told = (np.mean(found), sum(covered) / sum(b - a for _, a, b in gold), float(all(found))) if gold else (0.0, 0.0, 0.0)
+        out[item] = (np.mean(rel), float(any(rel)), 1 / (rel.index(True) + 1) if any(rel) else 0.0, *told, sum(b - a for _, a, b in given))
+    return out
+
+
+def test_searched_metrics_rank_all_chunks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(60)]
+    prose = lambda n: " ".join(rng.choice(words, n)) + "."
+    items = {1: prose(12), 2: prose(9), 3: "held by nothing " + prose(5), 4: prose(30)}
+    texts = [prose(20) + " " + " ".join(prose(8) for _ in range(12)) for _ in range(9)]
+    texts[2] += " " + items[1]
+    texts[5] = items[2] + " " + texts[5] + "\n\n" + items[4]
+    texts[7] = texts[5]
+    spark.createDataFrame([(i, t, "en", f"f{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries = __spark_entry__.queries()
+    got = {(r.label, r.question_id, r.k): tuple(r)[3:] for r in queries["search_question_metrics"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(n, i, k) for n in C.strategies() for i in items for k in (1, 3, 5)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("document_id", F.col("doc_id").cast("string"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("csv", "json", "markdown", "html", "docx", "txt", "pdf")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    for name in C.strategies():
+        chunks = C.chunk(docs.withColumn("source_type", kinds), name, provider=HashProvider(512)).collect()
+        for k in (1, 3, 5):
+            for item, want in _by_hand(chunks, items, {str(i): t for i, t in enumerate(texts)}, k).items():
+                assert got[name, item, k] == pytest.approx(want, abs=2e-6), (name, item, k)
+
+
 def test_experiment(spark, tmp_path):
     corpus = tmp_path / "corpus"
     corpus.mkdir()
