@@ -307,10 +307,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group, with its own columns; of rows that repeat an id one stays."""
-    found = materialise(near_duplicates(docs, k, percent, id_col), "groups")
-    chosen = found.filter("kept").select(id_col)
-    repeated = chosen.groupBy(id_col).agg(F.count("*").alias("m")).filter("m > 1")
-    if not repeated.isEmpty():
-        docs, chosen = docs.dropDuplicates([id_col]), chosen.distinct()
-    return docs.join(chosen, id_col, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group, with its own columns.
+
+    Rows that agree in id and text are one. Rows of null id, and different texts under one id, are
+    compared and decided each for itself; of a group's rows one that has an id stays if there is any.
+    """
+    columns, own = [F.col(f"`{c}`") for c in docs.columns], id_col
+    ids = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("m"))
+    if not ids.filter("m > 1 OR id IS NULL").isEmpty():
+        own, digest = "__row", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+        rows = docs.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).orderBy(F.asc_nulls_last(F.col(f"`{id_col}`")), "__digest")
+        docs = materialise(rows.drop("__digest").withColumn(own, F.monotonically_increasing_id()), "rows")
+    chosen = materialise(near_duplicates(docs, k, percent, own), "groups").filter("kept").select(own)
+    return docs.join(chosen, own, "left_semi").select(columns)

@@ -69,6 +69,16 @@ def test_odd_tables(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
+def test_rows_without_an_id_of_their_own(spark, words):
+    """Null and repeated ids: a text goes only if another row holds nearly the same."""
+    text = [" ".join(words(i, 60)) for i in range(6)]
+    near = text[1] + " more"
+    rows = [(0, text[0]), (1, near), (7, text[1]), (7, text[2]), (7, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (None, text[4]), (8, text[5])]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want = [(0, text[0]), (1, near), (7, text[2]), (None, text[3]), (None, text[4]), (8, text[5])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (None, 1)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
