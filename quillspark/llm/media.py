@@ -360,11 +360,12 @@ def thumbnail(frame: Frame, blocks: np.ndarray) -> np.ndarray:
 
 
 def thumbnail_hash(thumb: np.ndarray, side: int = 8) -> str:
-    """Which of side x side sampled points lie above their mean, as hexadecimal digits."""
+    """Which of side x side areas are brighter than the whole on average, as hexadecimal digits; short sides repeat points."""
     rows = np.arange(side) * thumb.shape[0] // side
     columns = np.arange(side) * thumb.shape[1] // side
-    small = thumb[np.ix_(rows, columns)].astype(np.int64)
-    return np.packbits((small * small.size > small.sum()).ravel()).tobytes().hex()
+    sums = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), rows, 0), columns, 1)
+    counts = np.outer(*[np.maximum(np.diff(at, append=n), 1) for at, n in zip((rows, columns), thumb.shape, strict=True)])
+    return np.packbits((sums * thumb.size > int(thumb.sum(dtype=np.int64)) * counts).ravel()).tobytes().hex()
 
 
 def read_payload(frame: Frame, blocks: np.ndarray) -> bytes:

@@ -94,6 +94,19 @@ def test_jpeg_of_several_components():
         media.parse(b"nothing")
 
 
+def test_thumbnail_hash_reads_every_point():
+    thumb = np.random.default_rng(2).integers(0, 256, (21, 30)).astype(np.uint8)
+    edge = lambda i, n: slice(i * n // 8, (i + 1) * n // 8)
+    want = [[thumb[edge(i, 21), edge(j, 30)].mean() > thumb.mean() for j in range(8)] for i in range(8)]
+    assert media.thumbnail_hash(thumb) == np.packbits(np.ravel(want)).tobytes().hex()
+    dark = np.zeros((40, 40), np.uint8)
+    bright = dark.copy()
+    bright[3::5, 4::5] = 255  # no point that opens an area
+    bright[:20] = 0
+    assert media.thumbnail_hash(dark) == "0" * 16 and media.thumbnail_hash(bright) == "0" * 8 + "f" * 8
+    assert len(media.thumbnail_hash(np.array([[0, 9, 9]], np.uint8))) == 16
+
+
 def test_quality_learns_and_scores_all(spark, words):
     rows = []
     for i in range(300):
