@@ -200,14 +200,11 @@ def route_strategy(spark, sf_dir):
     return rows.withColumn("rule", C.route(C.DEFAULT_RULES, rows.columns)).select("doc_id", names[F.col("rule")].alias("strategy"), "rule")
 
 
-@query("SELECT s AS strategy, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS wrong_number, CAST(0 AS BIGINT) AS uncovered FROM (SELECT unnest(['fixed', 'hierarchical', 'parent_child', 'recursive', 'sentence', 'sliding_window', 'structure', 'token']) AS s)")
-def chunk_contract_violations(spark, sf_dir):
+def _contract(docs: DataFrame, plans: dict[str, dict]) -> DataFrame:
     """For each strategy: chunks whose offsets don't give their text, numbers out of order, documents with words in no chunk."""
-    docs = _docs(spark, sf_dir)
     total = None
-    for name in ("fixed", "hierarchical", "parent_child", "recursive", "sentence", "sliding_window", "structure", "token"):
-        params = {"include_section_path": False} if name in ("structure", "hierarchical") else {}
-        rows = C.chunk(docs, name, params).join(docs.select("document_id", F.col("text").alias("whole")), "document_id")
+    for name, params in plans.items():
+        rows = C.chunk(docs, name, params, provider=HashProvider(512)).join(docs.select("document_id", F.col("text").alias("whole")), "document_id")
         rows = rows.withColumn("good", F.expr("substring(whole, start + 1, `end` - start) = text"))
         stem = F.regexp_extract("chunk_id", r"_([a-z]+)_\d+$", 1)
         nth = F.row_number().over(Window.partitionBy("document_id", stem).orderBy("start", "chunk_index")) - 1
@@ -219,6 +216,21 @@ def chunk_contract_violations(spark, sf_dir):
     return total
 
 
+@query("SELECT s AS strategy, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS wrong_number, CAST(0 AS BIGINT) AS uncovered FROM (SELECT unnest(['fixed', 'hierarchical', 'parent_child', 'recursive', 'sentence', 'sliding_window', 'structure', 'token']) AS s)")
+def chunk_contract_violations(spark, sf_dir):
+    """For the eight strategies that need neither a provider nor rules."""
+    names = ("fixed", "hierarchical", "parent_child", "recursive", "sentence", "sliding_window", "structure", "token")
+    return _contract(_docs(spark, sf_dir), {n: {"include_section_path": False} if n in ("structure", "hierarchical") else {} for n in names})
+
+
+@query("SELECT s AS strategy, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS wrong_number, CAST(0 AS BIGINT) AS uncovered FROM (SELECT unnest(['metadata_aware', 'semantic']) AS s)")
+def chunk_contract_violations_provided(spark, sf_dir):
+    """For the strategies with a provider or rules."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("csv", "json", "markdown", "html", "docx", "txt", "pdf")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    rules = [r | ({"params": r.get("params", {}) | {"include_section_path": False}} if r["strategy"] == "structure" else {}) for r in C.DEFAULT_RULES]
+    return _contract(_docs(spark, sf_dir).withColumn("source_type", kinds), {"metadata_aware": {"rules": rules}, "semantic": {}})
+
+
 @query("WITH c AS (" + _fixed_sql(500, 50) + ") SELECT CAST(count(*) AS BIGINT) AS chunks, round(avg(\"end\" - \"start\"), 6) AS avg_chars, CAST(median(\"end\" - \"start\") AS DOUBLE) AS median_chars, CAST(min(\"end\" - \"start\") AS INT) AS min_chars, CAST(max(\"end\" - \"start\") AS INT) AS max_chars FROM c")
 def chunk_stats(spark, sf_dir):
     return C.chunk_stats(C.chunk(_docs(spark, sf_dir), "fixed")).drop("strategy", "context_chunks")

@@ -274,6 +274,13 @@ def test_plans(spark, tmp_path):
     assert "Exchange" not in plan and "Arrow" not in plan
 
 
+def test_all_strategies_keep_the_chunk_contract(spark):
+    queries = __spark_entry__.queries()
+    rows = [r for q in ("chunk_contract_violations", "chunk_contract_violations_provided") for r in queries[q](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(r.strategy for r in rows) == C.strategies()
+    assert all(tuple(r)[1:] == (0, 0, 0) for r in rows), rows
+
+
 def test_entry_and_registration(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
