@@ -7,7 +7,6 @@ the folder named by ``spark.checkpoint.dir``, which survives the loss of an exec
 from __future__ import annotations
 
 import atexit
-import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +22,7 @@ from ..session import hadoop_path, shared_dir, write_bytes
 CHUNK_CHARS = 4_000_000
 
 _scratch: dict[str, str] = {}
+_open_paths: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,28 +41,61 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the interpreter ends."""
     path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    _open_paths.add(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark then deletes a job's shuffle files when it has ended; a lost executor's are made again while it runs.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame once and read it back: lineage is cut, and columns can be pruned."""
+    """Write a frame once and read it back: lineage is cut, columns can be pruned, and no shuffle file stays."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that ``materialise`` returned and that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "__dict__", {}).get("_scratch_path"):
+            _remove(df.sparkSession, path)
+            _open_paths.discard(path)
+
+
+def scratch_mark() -> set[str]:
+    """The scratch paths of now, for ``discard_since``."""
+    return set(_open_paths)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that was materialised and is no longer read."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+def discard_since(spark: SparkSession, mark: set[str], keep: DataFrame) -> None:
+    """Delete what was written since the mark, but for one frame."""
+    for path in _open_paths - mark - {keep.__dict__.get("_scratch_path")}:
+        if "/published-" not in path:
+            _remove(spark, path)
+            _open_paths.discard(path)
+
+
+def among(rows: DataFrame, on: str, keys: DataFrame, slots: int = 1 << 19) -> DataFrame:
+    """The rows whose ``on`` may be in the one column of ``keys``, and few others: what a join then needn't shuffle.
+
+    A bitmap of 64 x ``slots`` hashes goes out by broadcast, so its size is bound by ``slots`` rows whatever the number of
+    keys. As it fills, more rows pass; none of the keys' rows is ever lost.
+    """
+    (name,) = keys.columns
+    h = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots * 64))
+    told = keys.select(h(name).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__slot")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
+    found = rows.withColumn("__h", h(on)).withColumn("__slot", F.shiftright("__h", 6)).join(F.broadcast(told), "__slot")
+    return found.filter("bit_get(__bits, cast(__h & 63 as int)) = 1").drop("__h", "__slot", "__bits")
 
 
 def publish(spark: SparkSession, data: bytes, suffix: str) -> str:

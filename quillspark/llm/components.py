@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,9 +27,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hook = materialise(hook, "hooks")
         jumped = _follow(hook, hook)
         root = materialise(_follow(jumped, jumped), "roots")
-        found = root if found is None else materialise(_follow(found, root), "found")
+        before, found = found, root if found is None else materialise(_follow(found, root), "found")
         ends = rest.join(root.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        rest = materialise(ends.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        linked, rest = rest, materialise(ends.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        discard(linked, hook, before, root if before is not None else None)
     if found is None:
         return rest.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found.select("id", F.col("root").alias("component"))

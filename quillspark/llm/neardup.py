@@ -10,15 +10,20 @@ verified on the full sets of word sequences.
 
 Documents of equal sets are one class from the start. Classes that share a band's registers form a
 bucket. No bucket's pairs are all compared on the plain: first, in each bucket, every class is
-paired with two random ones (large buckets in salted parts, whose leaders are paired again), and the
+paired with two others (large buckets in salted parts, whose leaders are paired again), and the
 verified pairs are joined to components. Any link still missing then crosses components. Only where a
 bucket holds several components, the members outside its largest one are compared with all members of other components, in
-blocks of bounded size, by sketches and then by full sets, so that no link of a bucket that joins components is lost; a block
-reports only links that join something.
+blocks bounded by rows and bytes, by sketches and then by full sets, so that no link of a bucket that joins components is lost; a block
+reports only links that join something. Texts are shuffled only for documents that stand in a pair.
+
+Pairs outside blocks are verified on the sets of word sequences themselves; blocks compare the full sets of 64-bit hashes of
+these sequences, and equal hashes of all sequences (128 bits) make a class. Among n different sequences two have equal 64-bit
+hashes with a probability of n * n / 2^65, 3e-8 for a million.
 
 Edge cases: null and empty texts and those without words have the empty set (n_shingles 0) and link with nothing; a text with
-fewer words than a shingle has one shingle, all its words; rows of null id are returned with null component; rows that repeat an id
-get the component of that id's first set; extra columns are ignored; an empty table gives an empty result.
+fewer words than a shingle has one shingle, all its words; rows of null id are returned with null component and take no part; an
+id that repeats is one vertex: all its rows' sets link, and all its rows have its component; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import crossing, first_pairs, shared_buckets
-from .common import map_text, materialise
+from .common import among, discard, map_text, materialise
 from .components import connected_components
 
 BASE = 1.15
@@ -101,7 +106,7 @@ class Sketcher:
 
 def truncate(least: np.ndarray) -> np.ndarray:
     """Registers of minima of uniform 64-bit hashes."""
-    e = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
+    e = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 2.0**-53))
     return np.clip(np.floor(1 + np.log(RATE / e) / math.log(BASE)), 0, 255).astype(np.uint8)
 
 
@@ -142,8 +147,8 @@ def _floor(percent: int) -> float:
     return max(0.0, j - 4.5 * math.sqrt(j * (1 - j) / REGISTERS))
 
 
-def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, key (the set's fingerprint) and sketch of every row."""
+def sketches(rows: DataFrame, k: int) -> DataFrame:
+    """n, key (the set's fingerprint) and sketch of every row of (row, id, text), instead of the text."""
 
     def kernel():
         own = Sketcher(k)
@@ -160,8 +165,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
         return apply
 
     fields = [T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_text(rows, kernel, fields, keep=["id"])
+    return map_text(rows, kernel, fields, keep=["row", "id"])
 
 
 def _bands() -> F.Column:
@@ -187,11 +191,12 @@ def _rough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b, ok: the pairs compared on the full sets of word sequences."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, ok: the written pairs compared on the full sets of word sequences."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = materialise(among(rows.select("row", "text"), "row", ends), "texts")
+    one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("ok", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
                 ok.append(both > 0 and 100 * both >= percent * (len(known) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return two.mapInArrow(run, schema)
+    out = materialise(two.mapInArrow(run, schema), "verified")
+    discard(texts)
+    return out
+
+
+def common(one: np.ndarray, two: np.ndarray) -> int:
+    """How many values two sorted arrays of different values share."""
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one):
+        return 0
+    at = np.searchsorted(two, one)
+    return int((two[np.minimum(at, len(two) - 1)] == one).sum())
 
 
 def _in_block(percent: int):
@@ -223,12 +240,10 @@ def _in_block(percent: int):
         asks = block.column("asks").to_numpy(zero_copy_only=False)
         ids, comps, n, bands = (block.column(c).to_numpy() for c in ("id", "c", "n", "band"))
         sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        raw, sets = block.column("hashes"), {}
+        raw = block.column("hashes")
 
-        def full(row: int) -> set[int]:
-            if row not in sets:
-                sets[row] = set(np.frombuffer(raw[row].as_py(), np.uint64).tolist())
-            return sets[row]
+        def full(row: int) -> np.ndarray:
+            return np.frombuffer(raw[row].as_buffer(), np.uint64)
 
         root: dict[int, int] = {}
 
@@ -256,7 +271,7 @@ def _in_block(percent: int):
             for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
                 a, b = find(int(comps[i])), find(int(comps[j]))
                 if a != b:
-                    both = len(full(i) & full(j))
+                    both = common(full(i), full(j))
                     if 100 * both >= percent * (n[i] + n[j] - both):
                         root[a] = b
                         one_found.append(ids[i])
@@ -266,21 +281,42 @@ def _in_block(percent: int):
     return compare
 
 
-def _with_hashes(rows: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sketch and the full set's shingle hashes of the wanted ids."""
+def _with_hashes(reps: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """id, n, sketch and the full set's shingle hashes of the wanted classes."""
 
     def kernel():
         own = Sketcher(k)
         return lambda texts: [pa.array([own.hashes(t).tobytes() for t in texts], pa.binary())]
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(rows, "id")
-    return map_text(texts, kernel, [T.StructField("hashes", T.BinaryType())], keep=["id", "n", "sketch"])
+    texts = among(rows.select(F.col("row").alias("id"), "text"), "id", ids)
+    hashed = map_text(texts, kernel, [T.StructField("hashes", T.BinaryType())], keep=["id"])
+    return reps.select("id", "n", "sketch").join(ids, "id").join(hashed, "id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row; links need ``percent`` of Jaccard similarity."""
-    every = materialise(sketches(docs, k, id_col, text_col), "sketches")
-    classes = every.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("key", "r.id", "r.n", "r.sketch")
+def _addressed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(row, id, text) with a number for each row: its id, unless an id repeats. And whether one does."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
+        return rows.withColumn("row", F.col("id")), False
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), True
+
+
+def _same_id(every: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b: links between the classes of the rows that share an id."""
+    held = every.filter("n > 0 AND id IS NOT NULL")
+    several = held.groupBy("id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).filter("k0 <> k1").select("id", "k0")
+    met = held.select("id", "key").join(several, "id").filter("key <> k0").select("key", "k0").distinct()
+    named = reps.select("key", "id")
+    return met.join(named.withColumnRenamed("id", "a"), "key").join(named.select(F.col("key").alias("k0"), F.col("id").alias("b")), "k0").select("a", "b")
+
+
+def groups(rows: DataFrame, k: int, percent: int, ids_join: bool) -> DataFrame:
+    """row, id, n and component of every row of (row, id, text); the component is the smallest row of a group, null for empty sets.
+
+    Rows of null ``row`` take no part. ``ids_join``: rows that share an id belong together whatever their texts.
+    """
+    every = materialise(sketches(rows, k), "sketches")
+    classes = every.filter("n > 0 AND row IS NOT NULL").groupBy("key").agg(F.min(F.struct("row", "n", "sketch")).alias("r")).select("key", F.col("r.row").alias("id"), "r.n", "r.sketch")
     reps = materialise(classes, "classes")
     members = shared_buckets(reps.select(F.posexplode(_bands()).alias("band", "bucket"), "id"))
 
@@ -291,32 +327,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     guessed = _rough(sketched(first_pairs(members).select(F.col("owner").alias("a"), F.col("other").alias("b"))), percent)
     best = Window.partitionBy("a").orderBy(F.desc("guess"), "b")  # at most two pairs a band stand under an owner
     chosen = guessed.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PROPOSED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialise(_verified(chosen, docs, k, percent, id_col, text_col), "verified")
-    components = connected_components(first.filter("ok"))
-    small, large = crossing(members, components, lambda ids: _with_hashes(reps.select("id", "n", "sketch").join(ids, "id"), docs, k, id_col, text_col), _in_block(percent))
-    missing = _rough(sketched(small.join(first.select("a", "b"), ["a", "b"], "left_anti")), percent).select("a", "b")
-    second = materialise(_verified(missing, docs, k, percent, id_col, text_col).filter("ok").select("a", "b").unionByName(large), "verified")
+    first = _verified(materialise(chosen, "chosen"), rows, k, percent)
+    links = first.filter("ok").select("a", "b")
+    if ids_join:
+        links = materialise(links.unionByName(_same_id(every, reps)), "links")
+    components = connected_components(links)
+    weights = reps.select("id", (F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
+    small, large = crossing(members, components, weights, lambda ids: _with_hashes(reps, ids, rows, k), _in_block(percent))
+    discard(members)
+    missing = materialise(_rough(sketched(small.join(first.select("a", "b"), ["a", "b"], "left_anti")), percent).select("a", "b"), "missing")
+    second = materialise(_verified(missing, rows, k, percent).filter("ok").select("a", "b").unionByName(large), "links")
+    discard(small, large, missing)
     if not second.isEmpty():
-        components = connected_components(first.filter("ok").select("a", "b").unionByName(second))
-    named = reps.select("key", "id").join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    named = materialise(named, "named")
-    found = every.select("id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    component = F.when(F.col("id").isNotNull(), component)
+        components = connected_components(links.unionByName(second))
+    named = materialise(reps.select("key", "id").join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "named")
+    discard(first, second, reps)
+    return every.select("row", "id", "n", "key").join(named, "key", "left").select("row", "id", "n", F.when(F.col("row").isNotNull(), F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept of every row; links need ``percent`` of Jaccard similarity."""
+    rows, repeated = _addressed(docs, id_col, text_col)
+    if repeated:
+        rows = rows.withColumn("row", F.when(F.col("id").isNotNull(), F.col("row")))
+        found = materialise(groups(rows, k, percent, True), "groups")
+        least = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+        named = materialise(found.filter("id IS NOT NULL").join(least, "component", "left").groupBy("id").agg(F.min(F.coalesce("least", "id")).alias("component_id")), "named")
+        found = found.select("id", "n").join(named, "id", "left")
+    else:
+        found = groups(rows, k, percent, False).withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
+    component = F.col("component_id")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with its own columns.
 
-    Rows that agree in id and text are one. Rows of null id, and different texts under one id, are
-    compared and decided each for itself; of a group's rows one that has an id stays if there is any.
+    Rows of null id, and different texts under one id, are compared and decided each for itself; of a group's
+    rows one that has an id stays if there is any, that of the smallest id. Documents without words stay, one for each id.
     """
     columns, own = [F.col(f"`{c}`") for c in docs.columns], id_col
-    ids = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("m"))
-    if not ids.filter("m > 1 OR id IS NULL").isEmpty():
-        own, digest = "__row", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-        rows = docs.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).orderBy(F.asc_nulls_last(F.col(f"`{id_col}`")), "__digest")
-        docs = materialise(rows.drop("__digest").withColumn(own, F.monotonically_increasing_id()), "rows")
-    chosen = materialise(near_duplicates(docs, k, percent, own), "groups").filter("kept").select(own)
+    odd = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("m")).filter("m > 1 OR id IS NULL")
+    if odd.isEmpty():
+        found = groups(_addressed(docs, id_col, text_col)[0], k, percent, False)
+        chosen = found.filter("component IS NULL OR component = row").select("row")
+    else:
+        own = "__row"
+        docs = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+        rows = docs.select(F.col(own).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        kind = F.when(F.col("component").isNotNull(), 0).when(F.col("id").isNotNull(), 1).otherwise(2).alias("kind")
+        of = F.coalesce("component", "id", "row").alias("of")
+        chosen = groups(rows, k, percent, False).groupBy(kind, of).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    chosen = materialise(chosen.select(F.col("row").alias(own)), "chosen")
     return docs.join(chosen, own, "left_semi").select(columns)

@@ -79,6 +79,29 @@ def test_rows_without_an_id_of_their_own(spark, words):
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
 
+def test_a_repeated_id_is_one_vertex(spark):
+    rows = [(5, "a b c d e f"), (5, "x y z w v u"), (3, "x y z w v u"), (9, "a b c d e f"), (5, ""), (5, None), (9, ""), (4, "q w e r t y"), (8, "q w e r t y")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {5: 3, 3: 3, 9: 3, 4: 4, 8: 4}
+    assert sorted((r.doc_id, r.n_shingles, r.kept) for r in got) == sorted([(5, 4, False), (5, 4, False), (3, 4, True), (9, 4, False), (5, 0, False), (5, 0, False), (9, 0, False), (4, 4, True), (8, 4, False)])
+
+
+def test_blocks_are_bound_by_bytes(spark, words, monkeypatch):
+    """Long near copies: blocks of few rows find the same groups."""
+    monkeypatch.setattr(buckets, "SMALL", 2)
+    monkeypatch.setattr(buckets, "BLOCK_BYTES", 40_000)
+    rows = []
+    for g in range(2):
+        base = words(g, 2000)
+        for copy in range(12):
+            text = list(base)
+            for at in range(copy * 50, copy * 50 + 45):
+                text[at] = words(5000 + g * 1000 + copy, 1)[0]
+            rows.append((g * 100 + copy, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (None, 1)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
