@@ -6,7 +6,7 @@ spread of its words' vectors with three counts. A two-layer network in numpy sco
 temperature fitted on rows that the training didn't see makes the scores probabilities.
 
 The fit reads a bounded sample (``max_rows`` labelled rows of each class, those of least hash) in one
-task; word vectors live in a table of fixed size, so the model's size doesn't depend on the corpus.
+task, and of these the texts of at most ``max_chars`` characters, one for an id that repeats; word vectors live in a table of fixed size, so the model's size doesn't depend on the corpus.
 Scoring is one pass over whole texts without a shuffle.
 
 Edge cases: null and empty texts get a score like any other, from vectors of zero; documents without
@@ -43,6 +43,7 @@ class Params:
     rate: float = 0.01
     decay: float = 1e-3
     max_rows: int = 2000
+    max_chars: int = 50_000
     seed: int = 11
     threshold: float = 0.3
 
@@ -200,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", t
         chosen = part if chosen is None else chosen.unionByName(part)
     share = {k: max(1.0, n / p.max_rows) for k, n in totals.items()}
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id")  # at most 2 * max_rows ids
+    # at most 2 * max_rows ids, and one text of bounded length for each
+    sample = texts.filter(F.length("text") <= p.max_chars).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     schema = T.StructType([T.StructField("model", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
