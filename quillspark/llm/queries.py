@@ -36,8 +36,7 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs, budget=0.5, powers=(0.7, 0.7, 0.7)).drop("text")
+    return mixing.mix(table(spark, sf_dir, "documents"), budget=0.5, powers=(0.7, 0.7, 0.7), keep=["doc_id", "source", "lang"])
 
 
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import buckets, chat, licenses, media, mixing, quality, vectors, warc
+from quillspark.llm import buckets, chat, licenses, media, mixing, quality, topics, vectors, warc
 from quillspark.llm.lattice import LatticeHash, decode
 
 TEXTS = [None, "", "a", "x" * 64, "é\x00ÿ" * 77, "hello world " * 900, "ÿ" * 8192 * 40, "same", "same"]
@@ -128,36 +128,116 @@ def test_quality_learns_and_scores_all(spark, words):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_raking(rows, budget, powers, targets, blend):
+    """Probabilities of (source, lang, topic, tokens) by plain loops, for given shares of the targets."""
+    total = sum(r[3] for r in rows)
+    wants = []
+    for m, power in enumerate(powers):
+        own = {}
+        for r in rows:
+            own[r[m]] = own.get(r[m], 0) + r[3]
+        raised = {v: targets[m].get(v, 0) if targets[m] else t**power for v, t in own.items()}
+        scale = 1.0
+        for _ in range(len(own) + 1):  # what a value can't give goes to the others
+            share = {v: raised[v] / sum(raised.values()) * budget * total * scale for v in own}
+            full = sum(own[v] for v in own if share[v] > own[v])
+            rest = sum(share[v] / scale for v in own if share[v] <= own[v])
+            scale = max(scale, (budget * total - full) / rest if rest else scale)
+        wants.append({v: blend * min(own[v], share[v]) + (1 - blend) * budget * own[v] for v in own})
+    p, mark = [budget] * len(rows), float("inf")
+    for n in range(mixing.SWEEPS):
+        for m in range(3):
+            now = {}
+            for r, q in zip(rows, p, strict=True):
+                now[r[m]] = now.get(r[m], 0) + r[3] * q
+            p = [min(1.0, q * wants[m][r[m]] / now[r[m]]) for r, q in zip(rows, p, strict=True)]
+        off = 0
+        for m in range(3):
+            for v in wants[m]:
+                off = max(off, abs(sum(r[3] * q for r, q in zip(rows, p, strict=True) if r[m] == v) - wants[m][v]))
+        if off / (budget * total) < mixing.TOLERANCE:
+            return p, True
+        if n % 10 == 9:
+            if off > mark / 2:
+                return p, False
+            mark = off
+    return p, False
+
+
+TOKENS = [32, 21, 5, 20, 2, 1, 46, 52]
+
+
+@pytest.mark.parametrize(
+    ("budget", "powers", "targets", "all_met"),
+    [
+        (0.3, (0.5, 0.5, 0.5), {}, True),
+        (0.7, (0.5, 0.5, 0.5), {}, True),
+        (0.7, (1.0, 1.0, 1.0), {"lang": {"l0": 0.9, "l1": 0.1}}, False),
+        (0.5, (0.0, 0.2, 1.0), {"source": {"s0": 0.2, "s1": 0.8, "absent": 3.0}}, False),
+    ],
+)
+def test_raking_against_plain_loops(spark, budget, powers, targets, all_met):
+    """With capped cells, and with targets that have to be projected."""
+    cells = [(f"s{i // 4}", f"l{i // 2 % 2}", f"t{i % 2}", n) for i, n in enumerate(TOKENS)]
+    rows = [(i, "w " * c[3], *c[:3]) for i, c in enumerate(cells)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    given = [targets.get(m) for m in mixing.MARGINS]
+    blend = 1.0 if plain_raking(cells, budget, powers, given, 1.0)[1] else max(k / 2**mixing.HALVINGS for k in range(2**mixing.HALVINGS) if plain_raking(cells, budget, powers, given, k / 2**mixing.HALVINGS)[1])
+    want, _ = plain_raking(cells, budget, powers, given, blend)
+    for local_cells in (100, 1) if budget == 0.3 else (100,):
+        mixed, report = mixing.mix_and_report(docs, budget, powers, targets, topic=F.col("t"), local_cells=local_cells)
+        got = {r.doc_id: r for r in mixed.collect()}
+        assert max(abs(got[i].prob - w) for i, w in enumerate(want)) < 1e-9
+        assert {r.blend for r in got.values()} == {blend} and (blend == 1) == all_met
+        for r in report.collect():
+            assert r.reached == pytest.approx(r.feasible, abs=0.01 * budget * sum(TOKENS)) and r.feasible <= r.tokens + 1e-9
+        sums = {m: sum(r.reached for r in report.collect() if r.margin == m) for m in mixing.MARGINS}
+        assert all(s == pytest.approx(budget * sum(TOKENS), rel=1e-4) for s in sums.values())
+
+
+def test_cells_as_frames_rake_alike(spark):
+    """The same sweeps by numpy and by DataFrames where targets are cut, capped and out of reach."""
+    rows = [(f"s{i // 4}", f"l{i // 2 % 2}", f"t{i % 2}", float(n)) for i, n in enumerate(TOKENS)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    powers, targets = (0.0, 0.2, 1.0), {"source": {"s0": 0.9, "s1": 0.1, "absent": 3.0}}
+    held = mixing._Held(cells.toArrow(), powers, 0.6, targets)
+    frames = mixing._Frames(cells, powers, 0.6, targets)
+    for c in (held, frames):
+        c.begin(0.75)
+    for _ in range(3):
+        assert held.sweep() == pytest.approx(frames.sweep(), rel=1e-9)
+    one, two = ({tuple(r[:4]): r[4:] for r in t} for t in (map(tuple, spark.createDataFrame(held.table(0.75)).collect()), map(tuple, frames.table(0.75).collect())))
+    assert one.keys() == two.keys() and all(a == pytest.approx(b, rel=1e-9) if a is not None else b is None for k in one for a, b in zip(one[k], two[k], strict=True))
+
+
 def test_mixing(spark):
-    rows = [(i, "w " * (5 + i % 7), "src0" if i % 3 else f"src{i % 5}", None if i % 11 == 0 else "en" if i % 2 else "fr") for i in range(4000)] + [(9999, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("prob", F.lit("clash"))
+    rows = [(i, "w " * (5 + i % 7), "src0" if i % 3 else f"src{i % 5}", None if i % 11 == 0 else "en" if i % 2 else "fr") for i in range(4000)] + [(9999, None, None, None), (None, "a b", "src0", "en"), (None, "", "src0", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"prob": F.lit("clash"), "Topic": F.lit("mine")})
     targets = {"lang": {"en": 0.4, "fr": 0.5, mixing.MISSING: 0.1}}
-    mixed = mixing.mix(docs, 0.3, (0.5, 1.0, 1.0), targets).persist()
-    totals = {r.value: r for r in mixing.margins_of(mixed).filter("margin = 'lang'").collect()}
-    whole = sum(r.expected for r in totals.values())
-    assert whole == pytest.approx(0.3 * sum(r.tokens for r in totals.values()), rel=1e-6)
+    mixed, report = mixing.mix_and_report(docs, 0.3, (0.5, 1.0, 1.0), targets)
+    got, shares = mixed.collect(), {r.value: r for r in report.filter("margin = 'lang'").collect()}
+    whole = sum(r.tokens for r in shares.values()) * 0.3
+    assert {c.lower() for c in mixed.columns} == {"doc_id", "text", "source", "lang", "n_tokens", "topic", "prob", "weight", "keep", "blend"}
+    assert len(got) == 4003 and all(r.n_tokens == len((r.text or "").split()) for r in got)
     for value, share in targets["lang"].items():
-        assert totals[value].expected / whole == pytest.approx(share, abs=1e-6)
-        assert totals[value].sampled / totals[value].expected == pytest.approx(1, abs=0.15)
-    assert mixed.filter("doc_id = 9999").first().n_tokens == 0 and mixed.count() == 4001
-    frames = mixing.mix(docs, 0.3, (0.5, 1.0, 1.0), targets, local_cells=1)
-    pairs = mixed.select("doc_id", F.col("prob").alias("p")).join(frames.select("doc_id", "prob"), "doc_id")
-    assert pairs.agg(F.max(F.abs(F.col("p") - F.col("prob")))).first()[0] < 1e-6
-    assert mixing.mix(docs.limit(0)).count() == 0
-
-
-def test_mixing_with_capped_cells(spark):
-    """Both ways of raking sweep until the margins hold, though capped cells make that take more than 50 sweeps."""
-    tokens = [32, 21, 5, 20, 2, 1, 46, 52]
-    rows = [(i, "w " * n, f"s{i // 4}", f"l{i // 2 % 2}", f"t{i % 2}") for i, n in enumerate(tokens)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
-    probs = lambda **more: {r.doc_id: r.prob for r in mixing.mix(docs, 0.7, (0.5, 0.5, 0.5), topic=F.col("t"), **more).collect()}
-    one, many = probs(), probs(local_cells=1)
-    assert sum(p == 1 for p in one.values()) == 2
-    assert max(abs(one[i] - many[i]) for i in one) < 1e-7
-    for cells in (1, 100):
-        with pytest.warns(UserWarning, match="margins aren't met"):
-            probs(local_cells=cells, sweeps=2)
+        assert shares[value].reached / whole == pytest.approx(share, abs=1e-4)
+        sampled = sum(r.n_tokens for r in got if r.keep and (r.lang or mixing.MISSING) == value)
+        assert sampled / shares[value].reached == pytest.approx(1, abs=0.15)
+    kept = mixing.sample(docs, budget=0.3, powers=(0.5, 1.0, 1.0), targets=targets)
+    assert kept.columns == docs.columns and {r.Topic for r in kept.collect()} == {"mine"}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.sample(docs.limit(0)).count() == 0
+
+
+def test_topics_are_clusters_of_words(spark, words):
+    kinds = [words(10 * k, 40) for k in range(3)]
+    rows = [(i, " ".join(np.random.default_rng(i).choice(kinds[i % 3], 30))) for i in range(90)] + [(900, None), (901, " \t"), (902, " ".join(kinds[0] * 3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    read = lambda d: {r.doc_id: r.topic for r in topics.read_topics(d, topics.Params(topics=3, max_chars=5000), "doc_id", "text", ["doc_id"], "n", "topic").collect()}
+    got = read(docs)
+    assert got[900] == got[901] == topics.NONE and got[902] == got[0]
+    assert [len({got[i] for i in range(k, 90, 3)}) for k in range(3)] == [1, 1, 1] and len(set(got.values())) == 4
+    assert read(docs.repartition(5)) == got
 
 
 def test_warc_roundtrip(spark, monkeypatch):
