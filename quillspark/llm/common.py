@@ -85,17 +85,29 @@ def discard_since(spark: SparkSession, mark: set[str], keep: DataFrame) -> None:
             _open_paths.discard(path)
 
 
-def among(rows: DataFrame, on: str, keys: DataFrame, slots: int = 1 << 19) -> DataFrame:
-    """The rows whose ``on`` may be in the one column of ``keys``, and few others: what a join then needn't shuffle.
+def _marked(rows: DataFrame, on: str, keys: DataFrame, slots: int) -> DataFrame:
+    """The rows with ``__maybe``: false only if ``on`` isn't in the one column of ``keys``.
 
     A bitmap of 64 x ``slots`` hashes goes out by broadcast, so its size is bound by ``slots`` rows whatever the number of
-    keys. As it fills, more rows pass; none of the keys' rows is ever lost.
+    keys. As it fills, it is true for more rows; it is true for all the keys' rows.
     """
     (name,) = keys.columns
     h = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots * 64))
-    told = keys.select(h(name).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__slot")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
-    found = rows.withColumn("__h", h(on)).withColumn("__slot", F.shiftright("__h", 6)).join(F.broadcast(told), "__slot")
-    return found.filter("bit_get(__bits, cast(__h & 63 as int)) = 1").drop("__h", "__slot", "__bits")
+    told = keys.select(h(f"`{name}`").alias("__h")).groupBy(F.shiftright("__h", 6).alias("__slot")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
+    found = rows.withColumn("__h", h(f"`{on}`")).withColumn("__slot", F.shiftright("__h", 6)).join(F.broadcast(told), "__slot", "left")
+    return found.withColumn("__maybe", F.expr("coalesce(bit_get(__bits, cast(__h & 63 as int)) = 1, false)")).drop("__h", "__slot", "__bits")
+
+
+def among(rows: DataFrame, on: str, keys: DataFrame, slots: int = 1 << 19) -> DataFrame:
+    """The rows whose ``on`` may be among the keys, and few others: what a join then needn't shuffle."""
+    return _marked(rows, on, keys, slots).filter("__maybe").drop("__maybe")
+
+
+def remove(rows: DataFrame, on: str, keys: DataFrame, slots: int = 1 << 19) -> DataFrame:
+    """The rows whose ``on`` isn't among the keys; only those that may be are shuffled."""
+    marked = _marked(rows, on, keys, slots)
+    rest = marked.filter("__maybe").drop("__maybe").join(keys.toDF(on), on, "left_anti")
+    return marked.filter("NOT __maybe").drop("__maybe").unionByName(rest.select(rows.columns))
 
 
 def publish(spark: SparkSession, data: bytes, suffix: str) -> str:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import crossing, first_pairs, shared_buckets
-from .common import among, discard, map_text, materialise
+from .common import among, discard, map_text, materialise, remove
 from .components import connected_components
 
 BASE = 1.15
@@ -366,17 +366,15 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     Rows of null id, and different texts under one id, are compared and decided each for itself; of a group's
     rows one that has an id stays if there is any, that of the smallest id. Documents without words stay, one for each id.
     """
-    columns, own = [F.col(f"`{c}`") for c in docs.columns], id_col
-    odd = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("m")).filter("m > 1 OR id IS NULL")
-    if odd.isEmpty():
-        found = groups(_addressed(docs, id_col, text_col)[0], k, percent, False)
-        chosen = found.filter("component IS NULL OR component = row").select("row")
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    number = F.col(own[id_col]).cast("long")
+    if rows.groupBy(number.alias("id")).agg(F.count("*").alias("m")).filter("m > 1 OR id IS NULL").isEmpty():
+        rows = rows.withColumn("__row", number)
     else:
-        own = "__row"
-        docs = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-        rows = docs.select(F.col(own).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        kind = F.when(F.col("component").isNotNull(), 0).when(F.col("id").isNotNull(), 1).otherwise(2).alias("kind")
-        of = F.coalesce("component", "id", "row").alias("of")
-        chosen = groups(rows, k, percent, False).groupBy(kind, of).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
-    chosen = materialise(chosen.select(F.col("row").alias(own)), "chosen")
-    return docs.join(chosen, own, "left_semi").select(columns)
+        rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = materialise(groups(rows.select(F.col("__row").alias("row"), number.alias("id"), F.col(own[text_col]).alias("text")), k, percent, False), "groups")
+    kind = F.when(F.col("component").isNotNull(), 0).when(F.col("id").isNotNull(), 1).otherwise(2).alias("kind")
+    chosen = found.groupBy(kind, F.coalesce("component", "id", "row").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    dropped = materialise(found.select("row").join(chosen.select("row"), "row", "left_anti"), "dropped")
+    return remove(rows, "__row", dropped).select([F.col(n).alias(c) for c, n in own.items()])
