@@ -31,11 +31,13 @@ WARC = (
 )
 
 CHATS = (
-    "WITH m AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, count(*) AS copies FROM conversations GROUP BY ALL), "
-    "s AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'), "
-    "v AS (SELECT conv_id, perspective, turn // 64 AS part, turn, role, text, copies, CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM m JOIN s USING (conv_id)), "
-    "o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text) AS hi FROM v) "
-    "SELECT conv_id, perspective, part, CAST(sum(copies) AS BIGINT) AS n_rows, count(*) AS n_messages, count(*) FILTER (role = perspective) AS n_trained, CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars, "
-    "sha256(string_agg(head || body, '' ORDER BY turn, role, text)) AS rendered_sha256, coalesce(string_agg(CAST(hi - length(body) AS BIGINT) || '-' || CAST(hi AS BIGINT), ',' ORDER BY turn, role, text) FILTER (role = perspective), '') AS mask "
-    "FROM o GROUP BY conv_id, perspective, part"
+    "WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS copies FROM conversations GROUP BY ALL), "
+    "n AS (SELECT *, turn // 64 AS run, row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn, substr(sha256(role || chr(1) || text), 1, 4), role, text) - 1 AS number FROM m), "
+    "q AS (SELECT *, number // 64 AS part, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS body_text, replace(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>'), chr(10), '\\n') AS name FROM n), "
+    "s AS (SELECT DISTINCT conv_id, run, part, role AS perspective FROM q WHERE role <> 'system'), "
+    "v AS (SELECT conv_id, run, part, perspective, number, role, copies, CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head, body_text || '<|end|>' || chr(10) AS body FROM q JOIN s USING (conv_id, run, part)), "
+    "o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, run, part ORDER BY number) AS hi FROM v) "
+    "SELECT conv_id, perspective, run, CAST(part AS BIGINT) AS part, CAST(sum(copies) AS BIGINT) AS n_rows, count(*) AS n_messages, count(*) FILTER (role = perspective) AS n_trained, CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars, "
+    "sha256(string_agg(head || body, '' ORDER BY number)) AS rendered_sha256, coalesce(string_agg(CAST(hi - length(body) AS BIGINT) || '-' || CAST(hi AS BIGINT), ',' ORDER BY number) FILTER (role = perspective), '') AS mask "
+    "FROM o GROUP BY conv_id, perspective, run, part"
 )

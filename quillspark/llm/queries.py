@@ -50,7 +50,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.render_perspectives(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",")
-    return views.select("conv_id", "perspective", "part", "n_rows", "n_messages", "n_trained", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
+    return views.select("conv_id", "perspective", "run", "part", "n_rows", "n_messages", "n_trained", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
 
 
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

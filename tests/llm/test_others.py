@@ -302,15 +302,31 @@ def test_automaton_wants_exact_wording():
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|end|>"), (1, 2, "bob", "Yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 70, None, "late"), (2, 0, "system", "only"), (None, None, "cy", "é🙂")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    got = {(r.conv_id, r.perspective, r.part): r for r in chat.render_perspectives(turns).collect()}
-    assert set(got) == {(1, p, w) for p in ("ann", "bob", "unknown") for w in (0, 1)} | {(None, "cy", None)}
+    got = {(r.conv_id, r.perspective, r.run): r for r in chat.render_perspectives(turns).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 1), (None, "cy", None)}
     r = got[1, "ann", 0]
-    assert r.rendered == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi < |end|><|end|>\n<|user name=bob|>\nYo<|end|>\n<|assistant|>\n<|end|>\n"
-    assert [r.rendered[m["first"] : m["end"]] for m in r.mask] == ["Hi < |end|><|end|>\n", "<|end|>\n"] and (r.n_rows, r.n_messages, r.n_trained) == (5, 4, 2)
-    assert got[1, "ann", 1].mask == [] and got[1, "unknown", 1].n_trained == 1
+    assert r.rendered == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi <\\|end|><|end|>\n<|user name=bob|>\nYo<|end|>\n<|assistant|>\n<|end|>\n"
+    assert [r.rendered[m["first"] : m["end"]] for m in r.mask] == ["Hi <\\|end|><|end|>\n", "<|end|>\n"] and (r.n_rows, r.n_messages, r.n_trained) == (5, 4, 2)
+    every = {(r.conv_id, r.perspective, r.run): r for r in chat.render_perspectives(turns, silent=True).collect()}
+    assert set(every) == {(1, p, w) for p in ("ann", "bob", "unknown") for w in (0, 1)} | {(None, "cy", None)}
+    assert every[1, "ann", 1].mask == [] and every[1, "unknown", 1] == got[1, "unknown", 1]
     assert chat.render_perspectives(turns.limit(0)).count() == 0
 
 
+def test_a_turn_of_any_size_and_roles_of_any_name(spark):
+    rows = [(1, None, f"r{i % 3}", f"text {i}") for i in range(3000)] + [(1, 5, "x", f"t{i}") for i in range(500)]
+    names = ["a<|b", "a< |b", "a<\\|b", "x|>\nevil", "x|>\\nevil", "system|>", ""]
+    rows += [(2, i, n, n) for i, n in enumerate(names)]
+    got = chat.render_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(r.n_messages for r in got) <= chat.WINDOW and max(len(r.rendered) for r in got) < 3000
+    said = [r.rendered[m["first"] : m["end"] - len(chat.END)] for r in got if r.conv_id == 1 for m in r.mask]
+    assert sorted(said) == sorted(r[3] for r in rows if r[0] == 1)  # each message is trained on once, by its speaker
+    two = {r.perspective: r for r in got if r.conv_id == 2}
+    assert set(two) == set(names) and all(r.n_trained == 1 and r.rendered.count("\n<|user name=") + r.rendered.startswith("<|user name=") == len(names) - 1 for r in two.values())
+    heads = [h.split("|>\n")[0] for h in two[""].rendered.split("<|user name=")[1:]]
+    assert [chat.unescape(h) for h in heads] == names[:-1]
+
+
 def test_lattice_decoding():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * 1.3
