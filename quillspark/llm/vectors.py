@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import BLOCK, crossing, first_pairs, in_blocks, shared_buckets
-from .common import materialise
+from .common import discard, materialise
 from .components import connected_components
 from .lattice import LatticeHash
 
@@ -34,9 +34,9 @@ from .lattice import LatticeHash
 @dataclass(frozen=True)
 class Params:
     threshold: float = 0.9
-    tables: int = 40
+    tables: int = 20
     blocks: int = 3
-    width: float = 2.0
+    width: float = 2.4
     probes: int = 3
 
 
@@ -126,7 +126,9 @@ def near_vectors(rows: DataFrame, p: Params | None = None, id_col: str = "vec_id
     key = F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
     every = materialise(clean.withColumn("key", key), "vectors")
     classes = materialise(every.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "v")).alias("r"), F.count("*").alias("copies")).select("key", "r.id", "r.v", "copies"), "classes")
-    members = shared_buckets(_cells(classes, p).distinct())
+    cells = materialise(_cells(classes, p), "cells")
+    members = shared_buckets(cells)
+    discard(cells)
     proposed = first_pairs(members).select(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b")).distinct()
     first = materialise(_verified(proposed, classes, p.threshold), "verified")
     components = connected_components(first)
@@ -140,7 +142,7 @@ def near_vectors(rows: DataFrame, p: Params | None = None, id_col: str = "vec_id
             r, s = np.nonzero((vectors[part] @ vectors[two].T >= p.threshold) & (c[part][:, None] != c[two]))
             yield ids[part[r]], ids[two[s]]
 
-    small, large = crossing(members, components, lambda ids: classes.select("id", "v").join(ids, "id"), compare)
+    small, large = crossing(members, components, classes.select("id", (F.size("v") * 8).cast("long").alias("bytes")), lambda ids: classes.select("id", "v").join(ids, "id"), compare)
     second = materialise(_verified(small, classes, p.threshold).unionByName(large).distinct(), "verified")
     if not second.isEmpty():
         components = connected_components(first.unionByName(second))
