@@ -7,7 +7,9 @@ Reading: each file is cut into byte ranges. A task looks for the record magic an
 emits, for each place, where the record there would end: a candidate and its successor. Most are
 records, but a payload may hold the magic too. Inside a range the chains are followed at once; across ranges,
 pointer jumping from the start of each file doubles the steps until nothing new is reached.
-Only places on the chain that begins at offset 0 are records. Payloads are then cut out of the files by their offsets.
+Only places on the chain that begins at offset 0 are records. Payloads are then cut out of the files by their offsets. A header may
+have any length. A file's bytes pass through one task, so files are written with about ``FILE_BYTES`` at most (a file holds one
+record at least); files of others are read alike, below 2 GiB.
 
 A broken chain is an error: a record that is reached but can't be read, or one whose successor is no candidate, raises.
 
@@ -28,18 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, scratch_path
+from .common import discard, materialise, scratch_path
 
 MAGIC = b"WARC/1.0\r\n"
+BLANK = b"\r\n\r\n"
 #: Bytes of a range; a task holds a file and its ranges.
 RANGE = 1 << 20
-#: A record's header must end within this many bytes.
-MAX_HEADER = 1 << 16
-#: Records of a file.
+#: Bytes after a range that are read with it, for the header and block that begin in it.
+OVERLAP = 1 << 16
+#: Records of a written file, and about its bytes.
 PER_FILE = 1000
+FILE_BYTES = 64 << 20
 # RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 NAME = "urn:page:"
+# Fixed value: WARC 1.0, revisits of an identical payload.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -58,6 +64,7 @@ def base32_sha1(payload: F.Column) -> F.Column:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write one record per page to WARC files under ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    mean = rows.agg(F.avg(F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
     same = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     rows = rows.join(materialise(same.select("digest", "first"), "same"), "digest", "left")
@@ -69,24 +76,22 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit(MAGIC.decode()), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit(f"<{NAME}"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))), F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
         F.coalesce(line("WARC-Target-URI", F.translate("url", "\r\n", "")), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, line("WARC-Refers-To", F.concat(F.lit(f"<{NAME}"), F.col("first").cast("string"), F.lit(">")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), line("WARC-Refers-To", F.concat(F.lit(f"<{NAME}"), F.col("first").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block, F.lit("\r\n"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    each = max(1, min(PER_FILE, int(FILE_BYTES / (mean + 500))))
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", each).text(path)
 
 
-def _header(data: bytes, at: int) -> tuple[int, dict[str, str]] | None:
-    """Where the block of the record at ``at`` begins, and its fields; None if this is no header."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0:
-        return None
+def _fields(lines: bytes) -> dict[str, str] | None:
+    """The fields of a header; None if this is none."""
     fields = {}
-    for text in data[at + len(MAGIC) : end].split(b"\r\n"):
+    for text in lines.split(b"\r\n"):
         name, colon, value = text.partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (end + 4, fields) if fields.get("content-length", "").isdigit() else None
+    return fields if fields.get("content-length", "").isdigit() else None
 
 
 CANDIDATE = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("next", T.LongType()), T.StructField("leaves", T.LongType()), T.StructField("block", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType())])
@@ -117,12 +122,10 @@ def follow(at: np.ndarray, following: np.ndarray, end: int) -> np.ndarray:
     return np.where(last >= end, last, -1)
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """Every place of the magic in every range, with its successor and where its chain leaves the range."""
-    size = F.col("length")
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(size / RANGE).cast("long") - 1)
-    cut = F.transform(parts, lambda i: F.struct(i.alias("part"), F.substring(F.col("content"), (i * RANGE + 1).cast("int"), F.lit(RANGE + MAX_HEADER)).alias("data")))
-    ranges = files.filter(size > 0).select("file", "length", F.explode(cut).alias("r")).select("file", "length", "r.part", "r.data")
+def _read_ranges(files: DataFrame, overlap: int) -> DataFrame:
+    """Every place of the magic in the ranges ``parts`` of files; one whose header doesn't end within ``overlap`` bytes has no successor."""
+    cut = F.transform("parts", lambda i: F.struct(i.alias("part"), F.substring(F.col("content"), (i * RANGE + 1).cast("int"), F.lit(RANGE + overlap)).alias("data")))
+    ranges = files.select("file", "length", F.explode(cut).alias("r")).select("file", "length", "r.part", "r.data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +134,11 @@ def candidates(files: DataFrame) -> DataFrame:
                 base, end = part * RANGE, min((part + 1) * RANGE, total)
                 found, at = [], data.find(MAGIC)
                 while 0 <= at < end - base:
-                    head = _header(data, at)
-                    if head:
-                        block, fields = head
+                    close = data.find(BLANK, at)
+                    if close < 0 and base + len(data) < total:
+                        found.append((base + at, None, None, None, None, None, None, None, None))
+                    elif close >= 0 and (fields := _fields(data[at + len(MAGIC) : close])) is not None:
+                        block = close + len(BLANK)
                         stop = block + int(fields["content-length"])
                         kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest")
                         # a block that reaches beyond this range's bytes is read later
@@ -143,7 +148,7 @@ def candidates(files: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 at, following, block, *rest = zip(*found, strict=True)
-                leaves = follow(np.array(at), np.array(following), end)
+                leaves = follow(np.array(at), np.array([-1 if f is None else f for f in following]), end)
                 n = len(found)
                 columns = [[name] * n, [part] * n, at, following, leaves, block, *rest]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if f.dataType == T.StringType() else pa.int64()) for c, f in zip(columns, CANDIDATE, strict=True)], names=CANDIDATE.names)
@@ -151,6 +156,24 @@ def candidates(files: DataFrame) -> DataFrame:
     return ranges.mapInArrow(run, CANDIDATE)
 
 
+def candidates(files: DataFrame) -> DataFrame:
+    """Every place of the magic in every range, with its successor and where its chain leaves the range; written.
+
+    Ranges in which a header doesn't end are read again with more bytes after them, until all headers have ended.
+    """
+    size = F.col("length")
+    whole = files.filter(size > 0).withColumn("parts", F.sequence(F.lit(0).cast("long"), F.ceil(size / RANGE).cast("long") - 1))
+    overlap = OVERLAP
+    found = materialise(_read_ranges(whole, overlap), "candidates")
+    while not (unended := found.filter("next IS NULL")).isEmpty():
+        overlap *= 16
+        parts = materialise(unended.select("file", "part").distinct(), "parts")
+        again = _read_ranges(files.join(parts.groupBy("file").agg(F.collect_set("part").alias("parts")), "file"), overlap)
+        before, found = found, materialise(found.join(parts, ["file", "part"], "left_anti").unionByName(again), "candidates")
+        discard(before, parts)
+    return found
+
+
 def _reached(found: DataFrame, files: DataFrame, most_parts: int) -> DataFrame:
     """(file, at): the chain's first record in each range that it enters, by pointer jumping over ranges."""
     jump = found.filter("leaves >= 0").select("file", "at", F.col("leaves").alias("to"))
@@ -170,7 +193,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("path").alias("file"), "length", "content")
     sizes = materialise(files.filter("length > 0").select("file", "length"), "files")
-    found = materialise(candidates(files), "candidates")
+    found = candidates(files)
     most = sizes.agg(F.max("length")).first()[0] or 0
     entries = _reached(found, sizes, -(-most // RANGE) + 1)
 

@@ -257,12 +257,24 @@ def test_warc_roundtrip(spark, monkeypatch):
             assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
             assert (r.record_type, r.refers_to) == (("response", None) if i == first else ("revisit", first))
             assert r.payload == (raw if i == first else None)
-        monkeypatch.setattr(warc, "MAX_HEADER", 400)  # so that blocks reach beyond what a range holds
+        monkeypatch.setattr(warc, "OVERLAP", 400)  # so that blocks reach beyond what a range holds
         short = warc.roundtrip(pages, least, with_payload=False).drop("payload").collect()
         assert sorted(map(tuple, short), key=str) == sorted((tuple(r)[:5] for r in got.values()), key=str)
     assert warc.roundtrip(pages.limit(0)).count() == 0
 
 
+def test_long_headers_and_large_files(spark, monkeypatch, tmp_path):
+    rows = [(1, "http://x/" + "a" * 70_000, "short"), (2, "http://x/" + "b" * 3_000_000, "x" * 2_500_000 + "WARC/1.0\r\n" * 3), (3, None, "short"), (4, "u" * 70_000, "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    got = {r.page_id: r for r in warc.roundtrip(pages).collect()}
+    assert {i: bytes(r.payload).decode() for i, r in got.items() if r.payload} == {2: rows[1][2], 4: "short"}
+    assert {i: r.refers_to for i, r in got.items()} == {1: 4, 2: None, 3: 4, 4: None}
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000_000)  # about one record a file
+    warc.write_archives(spark.createDataFrame([(i, "u", "y" * 400_000 + str(i)) for i in range(6)], "page_id long, url string, html string").repartition(1), f"file://{tmp_path}/w")
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("*.txt")) < 1_000_000
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 6
+
+
 def test_a_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nhi\r\n\r\nnoise")
     with pytest.raises(Exception, match="no record at"):
