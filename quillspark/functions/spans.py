@@ -48,7 +48,8 @@ def between(text: str, lo: int, hi: int, pattern: str | re.Pattern) -> list[Span
 
 def slabs(text: str, lo: int, hi: int, size: int) -> list[Span]:
     """Consecutive pieces of ``size`` characters, squeezed, without blank ones."""
-    return [s for at in range(lo, hi, size) if (s := squeeze(text, at, min(at + size, hi)))]
+    pieces = re.compile(f"(?s:.{{1,{size}}})").finditer(text, lo, hi)
+    return [s for piece in pieces if (s := squeeze(text, *piece.span()))]
 
 
 def pack(spans: list[Span], limit: int, overlap: int = 0) -> list[Span]:
@@ -79,11 +80,9 @@ def fit(text: str, span: Span, limit: int) -> list[Span]:
 
 def _unwrapped(text: str, lo: int, hi: int) -> list[Span]:
     """Lines, with those that go on in lower case or with a closing mark joined to the one before."""
-    joined: list[Span] = []
-    for a, b in between(text, lo, hi, "\n"):
-        goes_on = (text[a].islower() or text[a] in ",;:)") and not OWN_LINE.match(text, a)
-        joined[-1:] = [(joined[-1][0], b)] if joined and goes_on else [*joined[-1:], (a, b)]
-    return joined
+    lines = between(text, lo, hi, "\n")
+    fresh = [n for n, (a, _) in enumerate(lines) if n == 0 or OWN_LINE.match(text, a) or not (text[a].islower() or text[a] in ",;:)")]
+    return [(lines[n][0], lines[end - 1][1]) for n, end in zip(fresh, [*fresh[1:], len(lines)], strict=True)]
 
 
 def _ends_here(text: str, since: int, stop: int, following: str) -> bool:

@@ -53,52 +53,6 @@ def legacy_document_id(doc_id: Column, chunk_id: Column) -> Column:
     return F.coalesce(doc_id, F.when(chunk_id.contains("_chunk_"), found).otherwise(chunk_id))
 
 
-def fixed_spans(text: Column, size: int, overlap: int) -> Column:
-    """(start, end) of windows of ``size`` characters; none lies inside the one before."""
-    step, n = size - overlap, F.length(text)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("end")))
-
-
-def word_spans(text: Column) -> Column:
-    """(start, end) of the runs without blanks."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?U)(\s*)(\S+)"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def add(state: Column, run: Column) -> Column:
-        end = state["at"] + F.length(run)
-        word = F.length(F.regexp_replace(run, r"(?U)^\s+", ""))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct((end - word).alias("start"), end.alias("end")))).alias("spans"))
-
-    return F.aggregate(runs, start, add)["spans"]
-
-
-def sliding_starts(words: Column, window: int, step: int) -> Column:
-    """First words of the windows; the last is moved back to be full."""
-    last = F.greatest(F.size(words) - window, F.lit(0))
-    regular = F.sequence(F.lit(0), last, F.lit(step))
-    return F.when(F.element_at(regular, -1) == last, regular).otherwise(F.concat(regular, F.array(last)))
-
-
-def hard_split(text: Column, size: int) -> Column:
-    """Squeezed pieces of ``size`` characters, without blank ones."""
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1), lambda i: F.regexp_replace(F.substring(text, i * size + 1, F.lit(size)), r"(?U)^\s+|\s+$", ""))
-    return F.filter(F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>")), lambda p: p != "")
-
-
-def pack_lengths(spans: Column, limit: int) -> Column:
-    """Greedy joins of neighbouring (start, end) spans within ``limit`` characters."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), span["end"].alias("end"))
-        fits = (F.size(done) > 0) & (span["end"] - F.try_element_at(done, F.lit(-1))["start"] <= limit)
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(span)))
-
-    return F.aggregate(spans, empty, add)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

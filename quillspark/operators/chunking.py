@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions import spans as S
 from ..functions import structure as B
-from ..functions import text as X
 from ..functions.embedding import Provider
 from ..functions.semantic import THRESHOLDS, semantic_spans
 from ..functions.tokens import Tokenizer, token_spans
@@ -129,11 +128,11 @@ def check_params(name: str, params: dict[str, Any]) -> None:
         if overlap in p and size in p:
             _within(p[overlap], p[size], size)
     if name == "sliding_window" and p["step"] > p["window_size"]:
-        raise ValueError("step cannot exceed window_size, or words would be skipped")
+        raise ValueError("words between two windows would be lost: step must be at most window_size")
     if name == "sentence" and p["overlap_sentences"] < 0:
         raise ValueError("overlap_sentences cannot be negative")
     if name == "parent_child" and p["child_size"] > p["parent_size"]:
-        raise ValueError("child_size cannot exceed parent_size")
+        raise ValueError("a child must not be larger than its parent: child_size > parent_size")
     if name == "hierarchical":
         if not p["chunk_size"] <= p["paragraph_max_chars"] <= p["section_max_chars"]:
             raise ValueError("sizes must satisfy chunk_size <= paragraph_max_chars <= section_max_chars")
@@ -197,10 +196,11 @@ def _lead(path: tuple[str, ...], heading: B.Block | None, start: int) -> str:
 @register("structure")
 def structure(text: str, max_chars: int = 1000, min_section_chars: int = 200, include_section_path: bool = True, detect_plain_headings: bool = True) -> list[Piece]:
     found: list[Piece] = []
-    for group in B.grouped(B.sections(B.blocks(text, detect_plain_headings)), min_section_chars, max_chars):
-        top = group[0]
-        for a, b in S.pack([u for s in group for u in B.units(text, s, max_chars)], max_chars):
-            found.append(Piece("chunk", len(found), a, b, _lead(top.path, top.heading, a) if include_section_path else "", " > ".join(top.path) or None))
+    outline = B.Outline(text, detect_plain_headings)
+    for group in outline.groups(min_section_chars, max_chars):
+        path, heading = group[0].path, outline.heading(group[0])
+        for a, b in S.pack(outline.pieces(group, max_chars), max_chars):
+            found.append(Piece("chunk", len(found), a, b, _lead(path, heading, a) if include_section_path else "", " > ".join(path) or None))
     return found
 
 
@@ -233,16 +233,17 @@ def hierarchical(text: str, section_max_chars: int = 3000, paragraph_max_chars:
             yield [p for p in parts if a <= p[0] and p[1] <= b]
 
     root = add("document", *S.squeeze(text, 0, len(text)), None, None)
-    for group in B.grouped(B.sections(B.blocks(text, detect_plain_headings)), min_section_chars, section_max_chars):
-        top, path = group[0], " > ".join(group[0].path) or None
-        units = [u for s in group for u in B.units(text, s, paragraph_max_chars)]
+    outline = B.Outline(text, detect_plain_headings)
+    for group in outline.groups(min_section_chars, section_max_chars):
+        top, heading, path = group[0], outline.heading(group[0]), " > ".join(group[0].path) or None
+        units = outline.pieces(group, paragraph_max_chars)
         for part in held(S.pack(units, section_max_chars), units):
             section = add("section", part[0][0], part[-1][1], root, path)
             for body in held(S.pack(part, paragraph_max_chars), part):
                 paragraph = add("paragraph", body[0][0], body[-1][1], section, path)
                 around = section if context_level == "section" else paragraph
                 for a, b in B.in_region(text, paragraph.start, paragraph.end, chunk_size, detect_plain_headings):
-                    add("chunk", a, b, paragraph, path, context=around.name, lead=_lead(top.path, top.heading, a) if include_section_path else "")
+                    add("chunk", a, b, paragraph, path, context=around.name, lead=_lead(top.path, heading, a) if include_section_path else "")
     return found
 
 
@@ -279,8 +280,6 @@ def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | Non
         return _routed(base, params or {}, provider)
     params = {**DEFAULT_PARAMS.get(name, {}), **(params or {})}
     check_params(name, params)
-    if name == "fixed":
-        return _native(base, X.fixed_spans(F.col("text"), params["chunk_size"], params["overlap"]), name)
     _, found = find(name)
     if found.needs_provider:
         if provider is None:
@@ -289,15 +288,6 @@ def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | Non
     return _arrow(base.withColumn("__route", F.lit(0)), [(name, name, found.kernel, params)])
 
 
-def _native(base: DataFrame, spans: Column, name: str) -> DataFrame:
-    rows = base.select("document_id", "__prefix", "text", F.posexplode(spans).alias("n", "s"))
-    none = F.lit(None).cast("string")
-    return rows.select(
-        "document_id", F.concat("__prefix", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), F.col("n").alias("chunk_index"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"),
-        F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(name).alias("strategy"), none.alias("parent_id"), F.lit(None).cast("int").alias("level"), F.lit(True).alias("retrievable"), none.alias("context_id"), none.alias("section_path"),
-    )
-
-
 def _routed(base: DataFrame, params: dict[str, Any], provider: Provider | None) -> DataFrame:
     rules, fallback = params.get("rules", DEFAULT_RULES), params.get("fallback", DEFAULT_FALLBACK)
     plans = []
@@ -340,6 +330,22 @@ def _arrow(base: DataFrame, plans: list[tuple[str, str, Kernel, dict[str, Any]]]
     return spread(rows).mapInArrow(run, CHUNK)
 
 
+def spans_frame(rows: DataFrame, cut: Callable[[str], list[S.Span]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n, start, end: the spans that a kernel finds in each text; null texts have none."""
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "start", "end"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = cut(batch.column(1)[i].as_py())
+                if found:
+                    a, b = zip(*found, strict=True)
+                    ids = batch.column(0).take(pa.array([i] * len(found)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (range(len(found)), a, b))], names=schema.names)
+
+    return spread(rows.select(id_col, text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], columns: list[pa.Field]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), columns, strict=True)], schema=pa.schema(columns))
 

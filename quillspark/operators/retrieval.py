@@ -14,11 +14,9 @@ from .store import CHUNK_KEYS, Store
 NO_CONTEXT = "No matching documents were found for this question."
 #: Left out of prompts: bookkeeping, and text that is there already.
 UNSAID = frozenset(CHUNK_KEYS) - {"section_path"} | {"matched_text", "embedding", "text", "chunk_id", "score", "rank", "extra"}
-# Fixed value: the instruction's wording.
 INSTRUCTION = (
-    "You are a helpful question-answering assistant. Use only the provided context to answer the question. Do not use outside knowledge or invent "
-    "facts. If the answer is not available in the context, say that the information is unavailable in the provided context. Cite the Source "
-    "and Page of the context each part of your answer comes from."
+    "Answer the question from the passages below and from nothing else. Where they don't hold the answer, reply that the "
+    "passages don't say. After every statement name the source, and the page if one is given."
 )
 
 

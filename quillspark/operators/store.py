@@ -1,7 +1,7 @@
-"""The vector store: immutable Parquet snapshots under one folder, and a small file that names the current one.
+"""The vector store: immutable Parquet snapshots under one folder, and an empty marker file for each finished one.
 
-A change writes a new snapshot and then replaces the pointer, so readers never see half a change and
-a lost executor only repeats its task. The last snapshots stay for readers that have begun.
+A change writes a new snapshot and then its marker, so readers never see half a change and a lost executor only
+repeats its task; of two writers of one number the second fails. The last snapshots stay for readers that have begun.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ SCHEMA = T.StructType([
 #: What the chunker records; the rest describes the document.
 CHUNK_KEYS = ("chunk_strategy", "chunk_start", "chunk_end", "chunk_level", "parent_id", "context_id", "context_text", "section_path")
 KEEP = 2
+MARKER = "CURRENT-"
 LEGACY = ("fixed", {"chunk_size": 500, "overlap": 50})
 
 
@@ -60,11 +61,12 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _pointer(self) -> int | None:
-        fs, where = hadoop_path(self.spark, f"{self.path}/CURRENT")
+        """The number of the newest finished snapshot: the largest of the CURRENT-<n> markers."""
+        fs, where = hadoop_path(self.spark, self.path)
         if not fs.exists(where):
             return None
-        found = self.spark.read.text(f"{self.path}/CURRENT").first()
-        return int(found.value)
+        _, markers = hadoop_path(self.spark, f"{self.path}/{MARKER}*")
+        return max((int(f.getPath().getName().removeprefix(MARKER)) for f in fs.globStatus(markers) or []), default=None)
 
     def rows(self) -> DataFrame:
         """All records of the current snapshot; an empty frame before the first."""
@@ -81,15 +83,12 @@ class Store:
         now = self._pointer()
         number = 1 if now is None else now + 1
         rows.select([F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA]).write.mode("overwrite").parquet(f"{self.path}/v={number}")
-        write_bytes(self.spark, f"{self.path}/NEXT", str(number).encode())
-        fs, there = hadoop_path(self.spark, f"{self.path}/CURRENT")
-        _, fresh = hadoop_path(self.spark, f"{self.path}/NEXT")
-        fs.delete(there, False)
-        if not fs.rename(fresh, there):
-            raise OSError(f"could not replace {there}")
-        _, old = hadoop_path(self.spark, f"{self.path}/v={number - KEEP}")
-        if number > KEEP:
-            fs.delete(old, True)
+        # The snapshot is whole before its marker exists, and older markers stay: a reader or a crash at any moment finds the last one.
+        write_bytes(self.spark, f"{self.path}/{MARKER}{number}", b"", overwrite=False)
+        fs, _ = hadoop_path(self.spark, self.path)
+        for old in (f"{MARKER}{number - KEEP}", f"v={number - KEEP}"):
+            if number > KEEP:
+                fs.delete(hadoop_path(self.spark, f"{self.path}/{old}")[1], True)
         return number
 
     def add(self, chunks: DataFrame) -> int:

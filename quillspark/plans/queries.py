@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans as P
 from ..functions import text as X
 from ..functions.embedding import HashProvider
 from ..operators import chunking as C
@@ -134,11 +135,11 @@ def chunk_fixed_1000_100(spark, sf_dir):
 
 
 _WINDOWS = (
-    "p AS (SELECT key, text, regexp_extract_all(text, '\\s*\\S+') AS r FROM d), q AS (SELECT key, text, r, list_transform(r, lambda x: length(x)) AS l, list_transform(r, lambda x: length(ltrim(x, chr(32) || chr(10) || chr(9)))) AS w, len(r) AS n FROM p), "
-    "e AS (SELECT key, text, n, w, unnest(l) AS l1, unnest(w) AS w1, unnest(range(0, n)) AS i FROM q), f AS (SELECT key, text, n, i, sum(l1) OVER (PARTITION BY key ORDER BY i) AS hi, w1 FROM e), "
-    "s AS (SELECT DISTINCT key, n, unnest(list_distinct(list_append(range(0, greatest(n - 100, 0) + 1, 75), greatest(n - 100, 0)))) AS b FROM q), k AS (SELECT key, n, b, row_number() OVER (PARTITION BY key ORDER BY b) - 1 AS c FROM s), "
-    "o AS (SELECT k.key, c, x.hi - x.w1 AS a, y.hi AS z, x.text FROM k JOIN f x ON x.key = k.key AND x.i = k.b JOIN f y ON y.key = k.key AND y.i = least(k.b + 100, k.n) - 1) "
-    "SELECT key || '_chunk_' || c AS chunk_id, CAST(a AS INT) AS \"start\", CAST(z AS INT) AS \"end\", md5(substring(text, CAST(a + 1 AS INT), CAST(z - a AS INT))) AS digest FROM o"
+    "p AS (SELECT key, regexp_extract_all(text, '\\s*\\S+') AS r FROM d), q AS MATERIALIZED (SELECT key, list_transform(r, lambda x: length(x)) AS l, list_transform(r, lambda x: length(ltrim(x, chr(32) || chr(10) || chr(9)))) AS w, len(r) AS n FROM p), "
+    "e AS MATERIALIZED (SELECT key, unnest(l) AS l1, unnest(w) AS w1, unnest(range(0, n)) AS i FROM q), f AS MATERIALIZED (SELECT key, i, sum(l1) OVER (PARTITION BY key ORDER BY i) AS hi, w1 FROM e), "
+    "s AS (SELECT DISTINCT key, n, unnest(list_distinct(list_append(range(0, greatest(n - 100, 0) + 1, 75), greatest(n - 100, 0)))) AS b FROM q), k AS MATERIALIZED (SELECT key, n, b, row_number() OVER (PARTITION BY key ORDER BY b) - 1 AS c FROM s), "
+    "o AS MATERIALIZED (SELECT k.key, c, CAST(x.hi - x.w1 AS BIGINT) AS a, CAST(y.hi AS BIGINT) AS z FROM k JOIN f x ON x.key = k.key AND x.i = k.b JOIN f y ON y.key = k.key AND y.i = least(k.b + 100, k.n) - 1) "
+    "SELECT key || '_chunk_' || c AS chunk_id, CAST(a AS INT) AS \"start\", CAST(z AS INT) AS \"end\", md5(substring(text, a + 1, z - a)) AS digest FROM o JOIN d USING (key)"
 )
 
 
@@ -156,8 +157,11 @@ def transcript_windows(spark, sf_dir):
 
 @query("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 200)) AS a FROM documents) SELECT doc_id, count(*) AS n, sum(length(p)) AS chars, md5(string_agg(p, '|' ORDER BY a)) AS digest FROM (SELECT doc_id, a, trim(substring(text, CAST(a + 1 AS INT), 200), ' ' || chr(10)) AS p FROM s) WHERE p <> '' GROUP BY doc_id")
 def hard_split_200(spark, sf_dir):
-    pieces = _table(spark, sf_dir, "documents").select("doc_id", X.hard_split(F.col("text"), 200).alias("p")).filter(F.size("p") > 0)
-    return pieces.select("doc_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
+    docs = _table(spark, sf_dir, "documents")
+    spans = C.spans_frame(docs, lambda text: P.slabs(text, 0, len(text), 200))
+    found = spans.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    pieces = F.transform("s", lambda x: F.substring("text", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "n", "chars", F.md5(F.array_join(pieces, "|").cast("binary")).alias("digest"))
 
 
 @query(
@@ -167,9 +171,8 @@ def hard_split_200(spark, sf_dir):
     "SELECT p.doc_id, p.c AS n, CAST(min(p.a) AS BIGINT) AS \"start\", CAST(max(g.hi) AS BIGINT) AS \"end\" FROM p JOIN g USING (doc_id, i) GROUP BY p.doc_id, p.c"
 )
 def pack_words_200(spark, sf_dir):
-    packed = X.pack_lengths(X.word_spans(F.col("text")), 200)
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(packed).alias("n", "s"))
-    return rows.select("doc_id", (F.col("n") + 1).alias("n"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    spans = C.spans_frame(_table(spark, sf_dir, "documents"), lambda text: P.pack(P.between(text, 0, len(text), P.SEPARATORS["word"]), 200))
+    return spans.withColumn("n", (F.col("n") + 1).cast("int"))
 
 
 def _kernel(strategy: str):

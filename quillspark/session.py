@@ -56,9 +56,9 @@ def in_blocks(rows: DataFrame, size: int) -> Iterator[list[Row]]:
         yield block
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
     fs, where = hadoop_path(spark, path)
-    out = fs.create(where, True)
+    out = fs.create(where, overwrite)
     try:
         out.write(bytearray(data))
     finally:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quillspark.functions import spans as S
 from quillspark.functions import text as X
 from quillspark.functions.embedding import HashProvider, KeywordProvider
 from quillspark.operators import chunking as C
@@ -31,14 +33,37 @@ def test_clean(spark):
     assert got[0][0] == "﻿ a\nb\nc d e\n\n f" and got[1][0] is None and got[2][0] == ""
 
 
-def test_native_and_kernel_chunks_agree(spark):
+def test_chunks_of_odd_texts(spark):
     texts = [("d1", "word " * 300), ("d2", "x" * 500), ("d3", "x" * 501), ("d4", "  "), ("d5", None), ("d6", "a\n\nb c")]
     docs = spark.createDataFrame(texts, "document_id string, text string")
     rows = C.chunk(docs, "fixed").orderBy("chunk_id").collect()
     expected = sorted((f"{d}_{p.name}", p.start, p.end) for d, t in texts if t and t.strip() for p in C.fixed(t))
     assert [(r.chunk_id, r.start, r.end) for r in rows] == expected
-    spans = docs.filter("document_id in ('d1','d6')").select("document_id", X.word_spans(F.col("text")).alias("w")).collect()
-    assert [(w.start, w.end) for w in spans[1].w] == [(0, 1), (3, 4), (5, 6)]
+    words = lambda text: S.between(text, 0, len(text), S.SEPARATORS["word"])
+    spans = C.spans_frame(docs, words, "document_id").filter("document_id in ('d4', 'd5', 'd6')").orderBy("n").collect()
+    assert [tuple(r) for r in spans] == [("d6", 0, 0, 1), ("d6", 1, 3, 4), ("d6", 2, 5, 6)]
+
+
+def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda i: spark.createDataFrame([(f"c{i}", [1.0, float(i)])], "chunk_id string, embedding array<float>")
+    assert store.count() == 0
+    store.add(rows(0))
+    (tmp_path / "s" / "v=2").mkdir()  # a writer died before its marker
+    assert store.count() == 1 and store._pointer() == 1
+    for i in range(1, 4):
+        store.add(rows(i))
+    assert store.count() == 4 and store._pointer() == 4
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith(".crc")) == ["CURRENT-3", "CURRENT-4", "v=3", "v=4"]
+
+
+def test_long_texts_take_seconds(spark):
+    """Costs grow with the text, not with its square."""
+    docs = spark.createDataFrame([("d", "word " * 400_000)], "document_id string, text string")
+    began = time.time()
+    assert C.chunk(docs, "fixed").count() == -(-(2_000_000 - 500) // 450) + 1
+    assert C.spans_frame(docs, lambda t: S.pack(S.between(t, 0, len(t), r"\s+"), 200), "document_id").count() == 10_000
+    assert time.time() - began < 30
 
 
 @pytest.mark.parametrize("name", ["sentence", "structure", "hierarchical"])
@@ -271,7 +296,7 @@ def test_plans(spark, tmp_path):
     assert "TakeOrderedAndProject" in text and "EqualTo(page,1)" in text and "Python" not in text
     chunks = C.chunk(spark.createDataFrame([("d", "t")], "document_id string, text string"), "fixed")
     plan = chunks._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Arrow" not in plan
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
 
 
 def test_all_strategies_keep_the_chunk_contract(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from quillspark.functions import semantic as M
@@ -53,7 +54,7 @@ def test_sentence_windows_shrink_their_overlap():
 def test_blocks():
     kinds = [b.kind for b in B.blocks(GUIDE)]
     assert kinds == ["heading", "paragraph", "heading", "list", "table", "code"]
-    assert [s.path for s in B.sections(B.blocks(GUIDE))] == [("Garden",), ("Garden", "Beds")]
+    assert [p.path for p in B.Outline(GUIDE).parts] == [("Garden",), ("Garden", "Beds")]
     assert [b.kind for b in B.blocks("Title\n=====\nbody\n~~~\nopen")] == ["heading", "paragraph", "code"]
     assert [b.kind for b in B.blocks("Annual Leave\nEveryone gets some days off each year.")] == ["heading", "paragraph"]
     assert [b.kind for b in B.blocks("Annual Leave\nEveryone gets some days.", plain_headings=False)] == ["paragraph"]
@@ -99,24 +100,39 @@ def test_structure_leads_with_the_path():
 
 def test_semantic_cuts_where_the_topic_turns():
     text = "The cat sat. A cat ran. One cat slept. The dog barked. A dog dug. One dog ate."
-    a = M.analyse(text, KeywordProvider(["cat", "dog"]), buffer_size=0, breakpoint_threshold=80.0)
-    assert a.breakpoints == [2]
+    found = M.places(text, KeywordProvider(["cat", "dog"]), buffer_size=0, breakpoint_threshold=80.0)
+    assert found.cut.tolist() == [False, False, True, False, False]
+    rows = list(M.explain(text, KeywordProvider(["cat", "dog"]), buffer_size=0, breakpoint_threshold=80.0))
+    assert [r[0] for r in rows] == list(range(6)) and said(text, [r[1:3] for r in rows])[2] == "One cat slept."
+    assert [r[-1] for r in rows] == [False, False, True, False, False, False] and rows[-1][3] is None
     spans = M.semantic_spans(text, KeywordProvider(["cat", "dog"]), buffer_size=0, breakpoint_threshold=80.0, min_chars=0)
     assert said(text, spans) == [text[:36].rstrip(), text[37:]] or len(spans) == 2
-    assert M.analyse("Only one.", HashProvider(8)).threshold == float("inf")
+    assert M.places("Only one.", HashProvider(8)).threshold == float("inf")
 
 
-def test_semantic_rules():
-    forced, blocked = M.heading_and_reference_rules("Old text here.\n\n# Head\n\nBody. This follows.", S.sentences("Old text here.\n\n# Head\n\nBody. This follows."), True, True)
-    assert forced == {0} and blocked == {1, 2}
+def test_blocks_of_odd_lines():
+    kinds = lambda t: [(b.kind, t[b.start : b.end]) for b in B.blocks(t, plain_headings=False)]
+    assert kinds("a\nb\n---\n# H #\ntext | row\n- x | y\n- item\n  more | row\nplain") == [
+        ("paragraph", "a\nb\n---"), ("heading", "# H #"), ("table", "text | row\n- x | y"), ("list", "- item\n  more | row"), ("paragraph", "plain"),
+    ]
+    assert kinds("```\n~~~\n# no\n``` x\nafter\n~~~\nopen\n\n") == [("code", "```\n~~~\n# no\n``` x"), ("paragraph", "after"), ("code", "~~~\nopen\n\n")]
+    assert kinds("- item\n---\n\n  \n===") == [("list", "- item"), ("paragraph", "---"), ("paragraph", "===")]
 
 
-def test_halving_and_absorbing():
-    a = M.Analysis([(0, 10), (11, 20), (21, 30), (31, 40)], [0.1, 0.9, 0.2], 0.5)
-    assert M.halve(a, 0, 3, 25) == [(0, 1), (2, 3)]
-    assert M.absorb(a, [(0, 0), (1, 3)], 15, 45) == [(0, 3)]
-    a.forced = {0}
-    assert M.absorb(a, [(0, 0), (1, 3)], 15, 45) == [(0, 0), (1, 3)]
+def test_semantic_rules():
+    found = M.places("Old text here.\n\n# Head\n\nBody. This follows.", HashProvider(8))
+    assert found.forced.tolist() == [True, False, False] and found.barred.tolist() == [False, True, True]
+
+
+def test_splitting_and_joining():
+    no = np.zeros(3, bool)
+    found = M.Places([(0, 10), (11, 20), (21, 30), (31, 40)], np.array([0.1, 0.9, 0.2]), 0.5, no.copy(), no.copy())
+    assert list(M.split_long(found, 0, 3, 25)) == [(0, 1), (2, 3)]
+    assert M.join_short(found, [(0, 0), (1, 3)], 15, 45) == [(0, 3)]
+    assert M.join_short(found, [(0, 0), (1, 1), (2, 2), (3, 3)], 15, 25) == [(0, 1), (2, 3)]
+    found.forced[0] = True
+    assert M.join_short(found, [(0, 0), (1, 3)], 15, 45) == [(0, 0), (1, 3)]
+    assert M.join_short(found, [], 15, 45) == []
 
 
 def test_tokens():
