@@ -8,7 +8,8 @@ luminance DC terms alone give an eighth-size thumbnail, which is stored as a has
 Writing stores bytes without loss in the format's own unit, the quantised coefficient: 64 bytes are
 the 64 coefficients of one block in zigzag order, all quantisers are 1, and a byte is moved past zero
 so that no coefficient vanishes. Each block is its own restart segment, so any part can be decoded
-independently, and memory stays bounded for texts of any length.
+independently. A text takes about ten times its bytes while it is read back, and texts are read in runs of bounded size, a long one
+alone.
 
 Edge cases: null and empty texts are a payload of 64 zero bytes; equal texts give equal rows; an
 empty table gives an empty result; clashing columns of the input are replaced by the added ones.
@@ -312,15 +313,16 @@ def read_jpegs(images: list[bytes]) -> list[tuple[Frame, np.ndarray]]:
         keep[np.flatnonzero(lead & (after == 0)) + 1] = False
         keep[mark] = keep[mark + 1] = False
         keep[-8:] = True
-        place = np.cumsum(keep) - keep  # where a byte goes, without stuffing and markers
+        dropped = np.flatnonzero(~keep)
+        place = lambda at, gone=dropped: at - np.searchsorted(gone, at)  # noqa: E731  where a byte goes, without stuffing and markers
         owner = np.searchsorted(ends, mark, "right")
         final = after[mark] == 0xD9
-        seg_stop = place[mark]
+        seg_stop = place(mark)
         seg_start = np.empty_like(seg_stop)
         seg_start[1:] = seg_stop[:-1]
         fresh = np.ones(len(mark), bool)
         fresh[1:] = owner[1:] != owner[:-1]
-        seg_start[fresh] = place[begins[owner[fresh]]]
+        seg_start[fresh] = place(begins[owner[fresh]])
         if np.bincount(owner[final], minlength=len(members)).tolist() != [1] * len(members):
             raise ValueError("a scan doesn't end once")
         mcus = np.zeros(len(mark), np.int64)
