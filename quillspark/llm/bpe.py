@@ -19,9 +19,11 @@ functions unless their names clash with an added column, in which case the added
 
 from __future__ import annotations
 
+import heapq
 import hashlib
 import io
 import json
+import os
 import mmap
 import re
 import struct
@@ -71,7 +73,8 @@ class Merger:
     """Merge the pair of least rank, leftmost first, until none is left; many words at a time.
 
     Words are rows of symbol ids. Each step finds every row's best pair, joins it and looks up the two
-    pairs that this changes, so a step costs a few array operations whatever the number of words.
+    pairs that this changes, so a step costs a few array operations whatever the number of words. A word
+    longer than the widest matrix is merged by a heap, whose costs grow with its length, not with the square.
     """
 
     #: Words of similar length share a matrix; its width follows the longest of them.
@@ -94,6 +97,7 @@ class Merger:
         self.slot_rank = np.full((1 << bits) + 64, self.none, np.int32)
         self._fill(keys[order], order.astype(np.int32))
         self.made = made
+        self.pair_rank: dict[int, int] | None = None
         self.inner = np.array([vocab.get(c, 0) for c in LETTERS], np.int32)
         self.outer = np.array([vocab.get(c + self.end, 0) for c in LETTERS], np.int32)
 
@@ -134,8 +138,8 @@ class Merger:
         below = 0
         for width in (*self.WIDTHS, None):
             if width is None:
-                for at in np.flatnonzero(lengths > below):
-                    self._rows([words[at]], np.array([at]), int(lengths[at]), out)
+                for at in np.flatnonzero(lengths > below).tolist():
+                    out[at] = self._long(words[at])
             else:
                 chosen = np.flatnonzero((lengths > below) & (lengths <= width))
                 for lo in range(0, len(chosen), 65536):
@@ -144,6 +148,35 @@ class Merger:
                 below = width
         return out
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """The same for one long word: pairs wait in a heap by rank and place, symbols in a linked list."""
+        raw = np.frombuffer(word, np.uint8)
+        symbols = self.inner[raw]
+        symbols[-1] = self.outer[raw[-1]]
+        if self.pair_rank is None:
+            held = self.slots >= 0
+            self.pair_rank = dict(zip(self.slots[held].tolist(), self.slot_rank[held].tolist(), strict=True))
+        first = self.ranks(symbols[:-1], symbols[1:])
+        n, base, rank_of, made = len(word), self.base, self.pair_rank.get, self.made.tolist()
+        begun = np.flatnonzero(first < self.none)
+        heap = (first[begun].astype(np.int64) * n + begun).tolist()  # rank and place in one number
+        heapq.heapify(heap)
+        symbol, before, after = symbols.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
+        while heap:
+            rank, at = divmod(heapq.heappop(heap), n)
+            right = after[at]
+            if symbol[at] < 0 or right < 0 or rank_of(symbol[at] * base + symbol[right]) != rank:
+                continue  # one of the two was joined meanwhile
+            symbol[at], symbol[right] = made[rank], -1
+            after[at] = beyond = after[right]
+            if beyond >= 0:
+                before[beyond] = at
+                if (r := rank_of(symbol[at] * base + symbol[beyond])) is not None:
+                    heapq.heappush(heap, r * n + at)
+            if (left := before[at]) >= 0 and (r := rank_of(symbol[left] * base + symbol[at])) is not None:
+                heapq.heappush(heap, r * n + left)
+        return np.array([x for x in symbol if x >= 0], np.int32)
+
     def _rows(self, words: list[bytes], where: np.ndarray, width: int, out: list[np.ndarray]) -> None:
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
@@ -248,6 +281,7 @@ class TokenCounter:
         self.merger, _ = load(path)
         self.split = PreTokens(path, BYTE_PATTERN, False)
         self.special = re.compile("|".join(map(re.escape, self.merger.special))) if self.merger.special else None
+        self.hint = os.path.commonprefix(list(self.merger.special))  # how all special strings begin
         self.whole = dict.fromkeys(whole, 1)
         self.known = dict(self.whole)
 
@@ -256,7 +290,7 @@ class TokenCounter:
             self.known = dict(self.whole)
         known, counts, cut = self.known, [], []
         for text in texts:
-            if self.special and "<|" in text and self.special.search(text):
+            if self.special and self.hint in text and self.special.search(text):
                 parts = self.special.split(text)
                 counts.append(len(parts) - 1)
                 cut.append([t for part in parts for t in self.split(part)])

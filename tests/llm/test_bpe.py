@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,25 @@ def test_encoding_and_decoding(spark, share):
     assert bpe.encode_decode(frame(spark).limit(0), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_words(path, words):
+    """Pre-tokens beyond the matrices, of repeating, random and mixed letters, and one of a million."""
+    merger, library = bpe.load(path)[0], Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    long = ["x" * 600, "ab" * 4000, "".join(rng.choice(letters, 5000)), "".join(words(3, 3000))]
+    for word, ids in zip(long, merger.merge([w.encode() for w in long]), strict=True):
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+    for n in (513, 700):
+        word = long[2][:n].encode()
+        by_rows = [None]
+        merger._rows([word], np.array([0]), n, by_rows)
+        assert merger._long(word).tolist() == by_rows[0].tolist()
+    began = time.time()
+    merger.merge([("".join(rng.choice(letters, 1_000_000))).encode()])
+    assert time.time() - began < 40
+
+
 def test_proven_tokens():
     merger, _ = bpe.load(BYTES)
     library = Tokenizer.from_file(BYTES)
