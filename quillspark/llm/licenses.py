@@ -21,25 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
+from .license_templates import TEMPLATES
 
 # The phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Wording of public licences and notices.
-TEMPLATES: list[tuple[str, str]] = [
-    ("mit-notice", "<<beginOptional>>this <<var;max=6>> is <<endOptional>>released under the <<beginOptional>>terms of the <<endOptional>>mit license"),
-    ("mit-notice", "licensed under the <<beginOptional>>terms of the <<endOptional>>mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var;max=2>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software"),
-    ("apache-2.0-notice", "licensed under the apache license version 2 0 <<beginOptional>>the license <<endOptional>>"),
-    ("gpl-notice", "<<beginOptional>>this <<var;max=6>> is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>gnu <<beginOptional>>lesser <<endOptional>>general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version <<var;min=1;max=1>>"),
-    ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu <<beginOptional>>lesser <<endOptional>>general public license as published by the free software foundation either version <<var;min=1;max=1>> of the license or at your option any later version"),
-    ("cc-by-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by <<beginOptional>>nc <<endOptional>><<beginOptional>>sa <<endOptional>><<beginOptional>>nd <<endOptional>><<var;min=1;max=1>> 0"),
-    ("cc-by-notice", "licensed under a creative commons attribution <<beginOptional>>noncommercial <<endOptional>><<beginOptional>>sharealike <<endOptional>><<var;min=1;max=1>> 0 international license"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("all-rights-reserved", "copyright <<beginOptional>>c <<endOptional>><<var;max=12>> all rights reserved"),
-]
-
 #: A-Z to a-z; every other ASCII byte that isn't part of a word to a blank.
 _FOLD = bytes((b + 32) if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 _MARKUP = re.compile(r"<<(beginOptional|endOptional|var)((?:;\w+=\d+)*)>>")

@@ -302,6 +302,48 @@ def test_licenses(spark):
     assert got[4].score == 0.5 and got[2].score == 1.0 and got[9].score == 0.0
 
 
+def said_by(template: str) -> str:
+    """A text that a template accepts: optional regions left out, one word for each variable region."""
+    return re.sub(r"<<var[^>]*>>", "anyone", re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", template))
+
+
+def test_whole_wording_is_mandatory():
+    scanner = licenses.Scanner({}, licenses.TEMPLATES)
+    labels = lambda t: {m[0] for m in scanner.scan(t)[3]}
+    whole = {"mit-text", "bsd-2-text", "bsd-3-text", "isc-text", "apache-2.0-header", "gpl-header"}
+    for label, template in licenses.TEMPLATES:
+        text = said_by(template)
+        words = text.split()
+        assert label in labels(f"Copyright 2020 Ann\n{text}\nfoo") and label in labels(text.upper())
+        if label in whole:
+            assert label not in labels(" ".join(words[: len(words) * 2 // 3]))  # the disclaimer is gone
+            for at in range(0, len(words), 7):
+                if words[at].strip('("),.;:') not in ("anyone", ""):
+                    assert label not in labels(" ".join([*words[:at], "changed", *words[at + 1 :]])), (label, words[at])
+    two, three = (said_by(t) for name, t in licenses.TEMPLATES if name in ("bsd-2-text", "bsd-3-text"))
+    assert labels(two) == {"bsd-2-text"} and labels(three) == {"bsd-3-text"}
+
+
+def test_automaton_against_plain_patterns():
+    """Every window of random texts against the same markup as a regular expression over words."""
+    rng = np.random.default_rng(8)
+    templates = {
+        "a b <<beginOptional>>c <<beginOptional>>a <<endOptional>><<endOptional>>b": "a b (?:c (?:a )?)?b ",
+        "<<beginOptional>>a <<endOptional>>b <<var;max=2>> c": "(?:a )?b (?:[abc] ){0,2}c ",
+        "a <<var;min=1;max=3>> a <<beginOptional>>b<<endOptional>>": "a (?:[abc] ){1,3}a (?:b )?",
+        "b c <<beginOptional>><<var;min=1;max=1>> a <<endOptional>>": "b c (?:[abc] a )?",
+    }
+    for template, plain in templates.items():
+        pattern = re.compile(plain)
+        automaton = licenses.Automaton("x", template)
+        for _ in range(300):
+            words = [str(w) for w in rng.choice(list("abc"), 8)]
+            for at in range(len(words)):
+                ends = [n for n in range(at, len(words) + 1) if pattern.fullmatch("".join(f"{w} " for w in words[at:n]))]
+                got = automaton.match([w.encode() for w in words], at)
+                assert (got or at) == max(ends, default=at), (template, words, at)
+
+
 def test_automaton_wants_exact_wording():
     a = licenses.Automaton("x", "one <<beginOptional>>two <<var;min=1;max=2>> <<endOptional>>three")
     words = lambda t: licenses.words_of(t)
