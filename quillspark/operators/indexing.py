@@ -1,8 +1,8 @@
 """Indexing: what to do with each document, versions, retirement, metadata refresh, one commit.
 
 Decisions follow the order of files, since a file indexed earlier in a run counts for a later one. Only manifest
-rows (ids and names, no texts) are replayed, per tenant; chunking, embedding and writing are set operations on the
-outcome.
+rows (ids and names, no texts) are replayed, for each group of names that share documents; chunking, embedding and
+writing are set operations on the outcome.
 """
 
 from __future__ import annotations
@@ -109,7 +109,25 @@ def plan(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
         made.insert(0, "tenant_id", frame.tenant_id.iloc[0])
         return made
 
-    return lines.groupBy("tenant_id").applyInPandas(one, PLAN)
+    named = lines.withColumn("__name", F.coalesce("filename", F.lit("\u0000")))
+    return named.join(_entangled(named), ["tenant_id", "__name"]).groupBy("tenant_id", "__group").applyInPandas(one, PLAN)
+
+
+def _entangled(lines: DataFrame) -> DataFrame:
+    """tenant_id, __name, __group: names are of one group if they share a document, directly or through others.
+
+    Only such names bear on each other, so groups are replayed apart; most are one file. Each round gives every name the least
+    name of its documents' groups.
+    """
+    edges = lines.select("tenant_id", "__name", "document_id").distinct().persist()
+    found = edges.select("tenant_id", "__name").distinct().withColumn("__group", F.col("__name"))
+    while True:
+        least = edges.join(found, ["tenant_id", "__name"]).groupBy("tenant_id", "document_id").agg(F.min("__group").alias("__g"))
+        then = edges.join(least, ["tenant_id", "document_id"]).groupBy("tenant_id", "__name").agg(F.min("__g").alias("__g"))
+        step = found.join(then, ["tenant_id", "__name"]).select("tenant_id", "__name", F.col("__group").alias("__before"), F.col("__g").alias("__group")).persist()
+        if step.filter("__before <> __group").isEmpty():
+            return step.drop("__before")
+        found = step.drop("__before")
 
 
 def version_history(arrivals: DataFrame) -> DataFrame:
@@ -143,12 +161,13 @@ def index(store: Store, documents: DataFrame, provider: Provider, strategy: str
     about = keyed.select("doc_key", "document_id", "tenant_id", "filename", "version", "previous_version", *[c for c in DOCUMENT_FIELDS if c in documents.columns])
     added = embed(bookkeeping.join(about, "doc_key").drop("doc_key"), provider)
     gone = done.filter("action = 'retire'").select("tenant_id", "filename", "document_id").distinct()
-    kept = old.join(gone, (F.coalesce(old["tenant_id"], gone["tenant_id"]) == gone["tenant_id"]) & (old["filename"] == gone["filename"]) & (old["document_id"] == gone["document_id"]), "left_anti")
-    kept = refreshed(kept, arriving.join(done.filter("action = 'refresh'").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"]))
-    changes = done.filter("action IN ('index', 'retire')").limit(1).count() + kept.filter("__changed").limit(1).count()
-    if changes:
-        full = kept.drop("__changed")
-        store.commit(full.unionByName(added, allowMissingColumns=True))
+    match = (F.coalesce(old["tenant_id"], gone["tenant_id"]) == gone["tenant_id"]) & (old["filename"] == gone["filename"]) & (old["document_id"] == gone["document_id"])
+    again = arriving.join(done.filter("action = 'refresh'").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"])
+    changed = refreshed(old.join(gone, match, "left_anti"), again).filter("__changed").drop("__changed")
+    dropped = old.join(gone, match, "left_semi").select("chunk_id").unionByName(changed.select("chunk_id"))
+    new = not done.filter("action = 'index' AND live").isEmpty()
+    if new or not dropped.isEmpty():
+        store.apply(changed.unionByName(added, allowMissingColumns=True) if new else changed, dropped)
     return done
 
 

@@ -1,6 +1,7 @@
-"""The vector store: immutable Parquet snapshots under one folder, and an empty marker file for each finished one.
+"""The vector store: immutable Parquet snapshots under one folder, and a marker file for each finished one.
 
-A change writes a new snapshot and then its marker, so readers never see half a change and a lost executor only
+A snapshot is a list of parts and of dropped records: a change writes what it adds and the ids of what it drops, then a marker that
+names these and the parts before, so readers never see half a change and a lost executor only
 repeats its task; of two writers of one number the second fails. The last snapshots stay for readers that have begun.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import hadoop_path, in_blocks, write_bytes
+from ..session import hadoop_path, in_blocks, read_bytes, write_bytes
 
 _STRINGS = "chunk_id document_id tenant_id filename previous_version source_type mime_type file_hash title author date department category encoding chunk_strategy parent_id context_id context_text section_path text".split()
 _INTS = "page version page_count row_count column_count chunk_start chunk_end chunk_level".split()
@@ -27,6 +28,8 @@ SCHEMA = T.StructType([
 CHUNK_KEYS = ("chunk_strategy", "chunk_start", "chunk_end", "chunk_level", "parent_id", "context_id", "context_text", "section_path")
 KEEP = 2
 MARKER = "CURRENT-"
+#: Parts and lists of dropped records of a snapshot, beyond which it is written together.
+COMPACT = 24
 LEGACY = ("fixed", {"chunk_size": 500, "overlap": 50})
 
 
@@ -60,41 +63,71 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> int | None:
-        """The number of the newest finished snapshot: the largest of the CURRENT-<n> markers."""
+    def _numbers(self) -> list[int]:
+        """The finished snapshots: the numbers of the CURRENT-<n> markers."""
         fs, where = hadoop_path(self.spark, self.path)
         if not fs.exists(where):
-            return None
+            return []
         _, markers = hadoop_path(self.spark, f"{self.path}/{MARKER}*")
-        return max((int(f.getPath().getName().removeprefix(MARKER)) for f in fs.globStatus(markers) or []), default=None)
+        return sorted(int(f.getPath().getName().removeprefix(MARKER)) for f in fs.globStatus(markers) or [])
+
+    def _state(self, number: int) -> dict[str, list[int]]:
+        return json.loads(read_bytes(self.spark, f"{self.path}/{MARKER}{number}"))
 
     def rows(self) -> DataFrame:
         """All records of the current snapshot; an empty frame before the first."""
-        now = self._pointer()
-        if now is None:
+        numbers = self._numbers()
+        if not numbers:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={now}")
+        state = self._state(numbers[-1])
+        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={n}").withColumn("__n", F.lit(n)) for n in state["parts"]]
+        found = reduce(DataFrame.unionByName, parts)
+        if state["gone"]:
+            gone = [self.spark.read.schema("chunk_id string").parquet(f"{self.path}/gone={n}").withColumn("__gone", F.lit(n)) for n in state["gone"]]
+            last = reduce(DataFrame.unionByName, gone).groupBy("chunk_id").agg(F.max("__gone").alias("__gone"))
+            found = found.join(last, "chunk_id", "left").filter("__gone IS NULL OR __n >= __gone")
+        return found.select(SCHEMA.names)
 
     def count(self) -> int:
         return self.rows().count()
 
     def commit(self, rows: DataFrame) -> int:
-        """Write a snapshot and make it current."""
-        now = self._pointer()
-        number = 1 if now is None else now + 1
-        rows.select([F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA]).write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        """Write a whole snapshot and make it current."""
+        return self._finish(rows, None, whole=True)
+
+    def apply(self, added: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """Make a snapshot of the current one without the records of ``gone`` (chunk_id) and with ``added``; only these are written.
+
+        After ``COMPACT`` such changes the records are written together again.
+        """
+        number = self._finish(added, gone, whole=False)
+        state = self._state(number)
+        return self.commit(self.rows()) if len(state["parts"]) + len(state["gone"]) > COMPACT else number
+
+    def _finish(self, rows: DataFrame | None, gone: DataFrame | None, whole: bool) -> int:
+        numbers = self._numbers()
+        number = numbers[-1] + 1 if numbers else 1
+        state = {"parts": [], "gone": []} if whole or not numbers else self._state(numbers[-1])
+        if rows is not None:
+            _like_store(rows).write.mode("overwrite").parquet(f"{self.path}/v={number}")
+            state["parts"].append(number)
+        if gone is not None:
+            gone.select("chunk_id").distinct().write.mode("overwrite").parquet(f"{self.path}/gone={number}")
+            state["gone"].append(number)
         # The snapshot is whole before its marker exists, and older markers stay: a reader or a crash at any moment finds the last one.
-        write_bytes(self.spark, f"{self.path}/{MARKER}{number}", b"", overwrite=False)
-        fs, _ = hadoop_path(self.spark, self.path)
-        for old in (f"{MARKER}{number - KEEP}", f"v={number - KEEP}"):
-            if number > KEEP:
-                fs.delete(hadoop_path(self.spark, f"{self.path}/{old}")[1], True)
+        write_bytes(self.spark, f"{self.path}/{MARKER}{number}", json.dumps(state).encode(), overwrite=False)
+        fs, where = hadoop_path(self.spark, self.path)
+        kept = [n for n in (*numbers, number) if n > number - KEEP]
+        named = {f"{MARKER}{n}" for n in kept} | {f"{kind}={n}" for k in kept for kind, key in (("v", "parts"), ("gone", "gone")) for n in self._state(k)[key]}
+        for found in fs.listStatus(where):
+            if (name := found.getPath().getName()) not in named and name.startswith((MARKER, "v=", "gone=")):
+                fs.delete(found.getPath(), True)
         return number
 
     def add(self, chunks: DataFrame) -> int:
         """Append records with embeddings of the store's length; returns how many."""
-        now = self.rows()
-        sizes = [r[0] for r in chunks.select(F.size("embedding")).union(now.select(F.size("embedding"))).distinct().limit(2).collect()]
+        own = self.rows().select(F.size("embedding").alias("n")).limit(1)
+        sizes = [r[0] for r in chunks.select(F.size("embedding").alias("n")).union(own).distinct().limit(2).collect()]
         if len(sizes) > 1:
             raise ValueError(f"embeddings of different length: {sorted(sizes)}")
         bad = chunks.filter(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0))
@@ -102,24 +135,23 @@ class Store:
             raise ValueError("embeddings must be finite and not zero")
         n = chunks.count()
         if n:
-            self.commit(now.unionByName(_like_store(chunks)))
+            self.apply(chunks)
         return n
 
     def delete(self, ids: DataFrame) -> int:
         """Drop the records of these chunk ids; unknown ids don't matter."""
-        now = self.rows()
-        gone = now.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").count()
-        if gone:
-            self.commit(now.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti"))
-        return gone
+        found = self.rows().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id")
+        n = found.count()
+        if n:
+            self.apply(gone=found)
+        return n
 
     def update(self, chunk_id: str, **fields: Any) -> None:
         """Change one record; KeyError unless there is exactly one."""
-        now = self.rows()
-        if now.filter(F.col("chunk_id") == chunk_id).count() != 1:
+        this = self.rows().filter(F.col("chunk_id") == chunk_id)
+        if this.limit(2).count() != 1:
             raise KeyError(chunk_id)
-        this = F.col("chunk_id") == chunk_id
-        self.commit(now.withColumns({k: F.when(this, F.lit(v)).otherwise(F.col(k)) for k, v in fields.items()}))
+        self.apply(this.withColumns({k: F.lit(v).cast(SCHEMA[k].dataType) for k, v in fields.items()}), this.select("chunk_id"))
 
     def search(self, query: list[float], k: int = 5, filters: dict[str, Any] | None = None) -> DataFrame:
         rows = self.rows()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import tempfile
@@ -65,6 +66,24 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = T
         out.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, whole."""
+    fs, where = hadoop_path(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        fs, where = hadoop_path(spark, path)
+        fs.delete(where, True)
+    except Exception:  # the session is gone; the cluster's own clean-up of the folder remains
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application, for clusters where it isn't installed."""
     app = spark.sparkContext.applicationId
@@ -76,7 +95,9 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(top.rglob("*.py")):
             packed.write(path, str(path.relative_to(top.parent)))
     name = hashlib.sha256(image.getvalue()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/quillspark-code-{uuid.uuid4().hex[:8]}/quillspark-{name}.zip"
+    folder = f"{shared_dir(spark)}/quillspark-code-{uuid.uuid4().hex[:8]}"
+    path = f"{folder}/quillspark-{name}.zip"
     write_bytes(spark, path, image.getvalue())
+    atexit.register(_remove, spark, folder)
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)

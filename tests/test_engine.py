@@ -16,7 +16,8 @@ from quillspark.functions.embedding import HashProvider, KeywordProvider
 from quillspark.operators import chunking as C
 from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
-from quillspark.operators.indexing import index, replay
+from quillspark.operators import store as store_module
+from quillspark.operators.indexing import index, plan, replay
 from quillspark.operators.retrieval import NO_CONTEXT, Answerer, Retriever, expand_to_context, prompt
 from quillspark.operators.store import Store, store_name, top_k, top_k_batch
 from quillspark.plans import experiment
@@ -44,17 +45,37 @@ def test_chunks_of_odd_texts(spark):
     assert [tuple(r) for r in spans] == [("d6", 0, 0, 1), ("d6", 1, 3, 4), ("d6", 2, 5, 6)]
 
 
-def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path):
+def test_store_changes_are_deltas(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/s")
-    rows = lambda i: spark.createDataFrame([(f"c{i}", [1.0, float(i)])], "chunk_id string, embedding array<float>")
+    rows = lambda *ids: spark.createDataFrame([(f"c{i}", [1.0, float(i)]) for i in ids], "chunk_id string, embedding array<float>")
+    held = lambda: sorted(r.chunk_id for r in store.rows().collect())
+    names = lambda: sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith(".crc"))
     assert store.count() == 0
-    store.add(rows(0))
+    store.add(rows(0, 1))
     (tmp_path / "s" / "v=2").mkdir()  # a writer died before its marker
-    assert store.count() == 1 and store._pointer() == 1
-    for i in range(1, 4):
-        store.add(rows(i))
-    assert store.count() == 4 and store._pointer() == 4
-    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith(".crc")) == ["CURRENT-3", "CURRENT-4", "v=3", "v=4"]
+    assert held() == ["c0", "c1"] and store._numbers() == [1]
+    store.add(rows(2))
+    assert store.delete(rows(0, 9)) == 1 and held() == ["c1", "c2"]
+    store.add(rows(0))  # back again, after it was dropped
+    store.update("c1", title="T")
+    assert held() == ["c0", "c1", "c2"] and {r.chunk_id: r.title for r in store.rows().collect()}["c1"] == "T"
+    assert names() == ["CURRENT-4", "CURRENT-5", "gone=3", "gone=5", "v=1", "v=2", "v=4", "v=5"]
+    monkeypatch.setattr(store_module, "COMPACT", 6)
+    store.add(rows(7))
+    assert held() == ["c0", "c1", "c2", "c7"] and store._state(7) == {"parts": [7], "gone": []}
+    with pytest.raises(KeyError):
+        store.update("nobody", title="T")
+
+
+def test_plan_by_groups_is_the_plan_by_tenant(spark):
+    """Names that share documents, in chains, against one replay of a tenant's whole manifest."""
+    rng = np.random.default_rng(6)
+    stored = [(t, f"f{i}", f"{'abcdefgh'[int(rng.integers(0, 8))]}{i % 3}-1", f"x{t}{i}", 1) for t in "uv" for i in range(12)]
+    arrivals = [(t, n, f"f{int(rng.integers(0, 16))}", f"{'abcdefgh'[int(rng.integers(0, 8))]}{int(rng.integers(0, 3))}-{1 + n % 2}") for t in "uv" for n in range(40)]
+    old = spark.createDataFrame(stored, "tenant_id string, filename string, document_id string, chunk_id string, version int").withColumn("previous_version", F.lit(None).cast("string"))
+    got = sorted(map(tuple, plan(old, spark.createDataFrame(arrivals, "tenant_id string, seq long, filename string, document_id string")).collect()), key=str)
+    want = [(t, *r) for t in "uv" for r in replay(sorted((f, d, 1, None) for u, f, d, _, _ in stored if u == t), [a[1:] for a in arrivals if a[0] == t])]
+    assert got == sorted(want, key=str)
 
 
 def test_long_texts_take_seconds(spark):
