@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
+from .license_templates import TEMPLATES
+from .licenses import PHRASES, words_of
+
 _REACH = (
     "e AS (SELECT x, y FROM l UNION SELECT y, x FROM l), r(id, c) AS (SELECT x, x FROM e UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.c), k AS (SELECT id, min(c) AS c FROM r GROUP BY id)"
 )
@@ -41,3 +45,40 @@ CHATS = (
     "sha256(string_agg(head || body, '' ORDER BY number)) AS rendered_sha256, coalesce(string_agg(CAST(hi - length(body) AS BIGINT) || '-' || CAST(hi AS BIGINT), ',' ORDER BY number) FILTER (role = perspective), '') AS mask "
     "FROM o GROUP BY conv_id, perspective, run, part"
 )
+
+
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words that are each followed by a blank."""
+    out = " "
+    for piece in re.split(r"(<<[^>]*>>)", template):
+        if piece == "<<beginOptional>>":
+            out += "(?:"
+        elif piece == "<<endOptional>>":
+            out += ")?"
+        elif piece.startswith("<<var"):
+            size = dict(x.split("=") for x in piece[2:-2].split(";")[1:])
+            out += "(?:[^ ]+ ){%s,%s}" % (size.get("min", "0"), size["max"])
+        else:
+            out += "".join(w.decode() + " " for w in words_of(piece))
+    return out
+
+
+def _licenses() -> str:
+    tests = []
+    for phrase in PHRASES:
+        words = phrase.split()
+        tests.append("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {n}] = '{word}'" for n, word in enumerate(words)) + ")")
+    places = ", ".join(f"{test} AS p{n}" for n, test in enumerate(tests))
+    every = "[" + ", ".join(f"p{n}" for n in range(len(tests))) + "]"
+    base = "flatten([" + ", ".join(f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, label in enumerate(PHRASES.values())) + "])"
+    own = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(line, '{_pattern(text)}') THEN ['{label}'] ELSE [] END" for label, text in TEMPLATES) + "])"
+    joined = "array_to_string(list_sort(list_distinct({})), ',')"
+    return (
+        f"WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), "
+        f"l AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line, {places} FROM t), m AS (SELECT doc_id, len(w) AS n_words, flatten({every}) AS p, {base} AS b, {own} AS o FROM l) "
+        f"SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word, {joined.format('b')} AS base_labels, {joined.format('list_concat(b, o)')} AS labels, "
+        "CAST(CASE WHEN len(o) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM m"
+    )
+
+
+LICENSES = _licenses()

@@ -44,7 +44,7 @@ def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("matches")
 
 
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,7 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": oracle.NEAR_DUPLICATES,
     "op6_warc_roundtrip": oracle.WARC,
+    "op7_license_scan": oracle.LICENSES,
     "op8_chat_perspectives": oracle.CHATS,
     "op9_embedding_near_duplicates": oracle.VECTORS,
 }
