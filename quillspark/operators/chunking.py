@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import spans as S
 from ..functions import structure as B
 from ..functions.embedding import Provider
-from ..functions.semantic import THRESHOLDS, semantic_spans
+from ..functions.semantic import THRESHOLDS, explain, semantic_spans
 from ..functions.tokens import Tokenizer, token_spans
 from ..session import spread
 
@@ -346,6 +346,24 @@ def spans_frame(rows: DataFrame, cut: Callable[[str], list[S.Span]], id_col: str
     return spread(rows.select(id_col, text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, schema)
 
 
+def semantic_boundaries(docs: DataFrame, provider: Provider, params: dict[str, Any] | None = None) -> DataFrame:
+    """Every sentence with the distance to the next one and whether a cut after it is forced, barred and made."""
+    given = {k: v for k, v in {**DEFAULT_PARAMS["semantic"], **(params or {})}.items() if k != "min_chars"}
+    kinds = [("idx", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("distance", T.DoubleType()), ("threshold", T.DoubleType()), ("forced", T.BooleanType()), ("barred", T.BooleanType()), ("cut", T.BooleanType())]
+    schema = T.StructType([T.StructField("document_id", T.StringType()), *(T.StructField(n, k) for n, k in kinds)])
+    arrow = [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 2, *[pa.bool_()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(document, *r) for r in explain(text, provider, **given)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)], names=schema.names)
+
+    texts = docs.select(F.col("document_id").cast("string"), "text").filter(F.col("text").rlike(r"(?U)\S"))
+    return spread(texts).mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], columns: list[pa.Field]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), columns, strict=True)], schema=pa.schema(columns))
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.embedding import Provider
 from .chunking import chunk, with_context
-from .embed import embed
+from .embed import embed, embed_cached
 from .store import Store
 
 PLAN = T.StructType([
@@ -146,8 +146,11 @@ def _arriving(documents: DataFrame) -> DataFrame:
     return named.join(seq, ["tenant_id", "source", "document_id"])
 
 
-def index(store: Store, documents: DataFrame, provider: Provider, strategy: str = "fixed", params: dict[str, Any] | None = None) -> DataFrame:
-    """Bring a store up to date with documents in one commit; returns the plan that was carried out."""
+def index(store: Store, documents: DataFrame, provider: Provider, strategy: str = "fixed", params: dict[str, Any] | None = None, cache: str | None = None) -> DataFrame:
+    """Bring a store up to date with documents in one commit; returns the plan that was carried out.
+
+    With ``cache``, a folder, texts that were embedded before aren't sent again.
+    """
     old = store.rows()
     arriving = _arriving(documents)
     done = plan(old, arriving).persist()  # ids and names only
@@ -159,7 +162,8 @@ def index(store: Store, documents: DataFrame, provider: Provider, strategy: str
         F.col("document_id").alias("doc_key"), "chunk_id", "text", F.col("strategy").alias("chunk_strategy"), F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"), F.col("level").alias("chunk_level"), "parent_id", "context_id", "context_text", "section_path",
     )
     about = keyed.select("doc_key", "document_id", "tenant_id", "filename", "version", "previous_version", *[c for c in DOCUMENT_FIELDS if c in documents.columns])
-    added = embed(bookkeeping.join(about, "doc_key").drop("doc_key"), provider)
+    pieces = bookkeeping.join(about, "doc_key").drop("doc_key")
+    added = embed_cached(pieces, provider, cache)[0] if cache else embed(pieces, provider)
     gone = done.filter("action = 'retire'").select("tenant_id", "filename", "document_id").distinct()
     match = (F.coalesce(old["tenant_id"], gone["tenant_id"]) == gone["tenant_id"]) & (old["filename"] == gone["filename"]) & (old["document_id"] == gone["document_id"])
     again = arriving.join(done.filter("action = 'refresh'").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"])

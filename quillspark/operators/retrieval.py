@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.embedding import Provider
 from .store import CHUNK_KEYS, Store
@@ -24,6 +26,35 @@ class LLM(Protocol):
     def generate(self, prompt: str) -> str: ...
 
 
+class RemoteLLM:
+    """A hosted chat model, one call per prompt. The client is made in the process that uses it."""
+
+    def __init__(self, model: str, client=None):
+        self.model, self._client = model, client
+
+    def generate(self, prompt: str) -> str:
+        if self._client is None:
+            from openai import OpenAI
+
+            self._client = OpenAI()
+        answer = self._client.chat.completions.create(model=self.model, messages=[{"role": "user", "content": prompt}], temperature=0)
+        return (answer.choices[0].message.content or "").strip()
+
+
+def generate_all(prompts: DataFrame, llm: LLM, prompt_col: str = "prompt", name: str = "answer") -> DataFrame:
+    """Add the model's answer to every prompt, on the executors; a null prompt has a null answer."""
+    kept = [c for c in prompts.columns if c.lower() != name.lower()]
+    at = kept.index(prompt_col)
+    schema = T.StructType([prompts.schema[c] for c in kept] + [T.StructField(name, T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            said = [None if p is None else llm.generate(p) for p in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*kept, name])
+
+    return prompts.select(kept).mapInArrow(run, schema)
+
+
 def expand_to_context(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each result with its context's text; one result per context, at its best rank.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embedding import HashProvider, Provider
 from ..operators import evaluation as V
-from ..operators.chunking import chunk
+from ..operators.chunking import DEFAULT_PARAMS, chunk, semantic_boundaries
 from ..operators.embed import embed
 from ..operators.store import top_k_batch
 from ..session import write_bytes
@@ -109,8 +109,17 @@ def run(spark: SparkSession, config: Config, provider: Provider | None = None) -
         "by_document": V.averages(named.filter(F.col("k") == config.top_k), ["label", "filename"]), "stats": chunks.groupBy("label").agg(F.count_if("retrievable").alias("chunks"), F.round(F.avg(F.when(F.col("retrievable"), F.length("text"))), 2).alias("avg_chars")),
         "cases": V.overlaps(chunks.filter("retrievable"), gold, []).join(plain.select("label", "question_id", "chunk_id", "rank"), ["label", "question_id", "chunk_id"], "left"),
     }
+    frames["chunks_by_document"] = chunks.filter("retrievable").groupBy("label", "document_id").agg(F.count("*").alias("chunks"))
+    frames["questions_by_document"] = questions.groupBy("filename").agg(F.countDistinct("question_id").alias("questions"), F.count("*").alias("passages"))
+    near = [V.boundaries_near(semantic_boundaries(documents, provider, s.params), gold).withColumn("label", F.lit(s.label)) for s in config.specs if s.strategy == "semantic"]
+    if near:
+        frames["boundaries"] = reduce(DataFrame.unionByName, near)
+    used = {s.label: {"strategy": s.strategy, "params": {**DEFAULT_PARAMS.get(s.strategy, {}), **s.params}} for s in config.specs}
+    write_bytes(spark, f"{config.output_dir}/config.json", json.dumps({"name": config.name, "corpus_dir": config.corpus_dir, "questions": config.questions, "top_k": config.top_k, "ks": config.ks, "expand_context": config.expand_context, "embedding_model": provider.name, "strategies": used}, default=str).encode())
     for name, frame in frames.items():
         (frame.write.partitionBy("label") if name in ("chunks", "retrieval") else frame.coalesce(1).write).mode("overwrite").json(f"{config.output_dir}/{name}")
-    write_bytes(spark, f"{config.output_dir}/report.md", render(config.name, config.top_k, frames).encode())
-    return frames
+    write_bytes(spark, f"{config.output_dir}/report.md", render(config.name, config.top_k, frames, provider.name).encode())
+    for held in (documents, gold, chunks, ranked, measured):
+        held.unpersist()
+    return {name: spark.read.schema(frame.schema).json(f"{config.output_dir}/{name}") for name, frame in frames.items()}
 

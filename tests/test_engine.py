@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -18,11 +19,12 @@ from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
 from quillspark.operators import store as store_module
 from quillspark.operators.indexing import index, plan, replay
-from quillspark.operators.retrieval import NO_CONTEXT, Answerer, Retriever, expand_to_context, prompt
+from quillspark.operators.retrieval import NO_CONTEXT, Answerer, RemoteLLM, Retriever, expand_to_context, generate_all, prompt
 from quillspark.operators.store import Store, store_name, top_k, top_k_batch
 from quillspark.plans import experiment
-from quillspark.plans.app import question_loop
+from quillspark.plans.app import Quote, models, question_loop
 from quillspark.plans.report import clip, clip_left
+from quillspark.settings import Settings
 from quillspark.streaming.ingest import stream_folder
 
 PROVIDER = KeywordProvider(["cat", "dog", "fish"])
@@ -288,12 +290,15 @@ def test_experiment(spark, tmp_path):
     corpus.mkdir()
     (corpus / "pets.txt").write_text("The cat sleeps all day on the mat. " * 5 + "The dog guards the old gate at night. " * 5)
     (tmp_path / "q.json").write_text(json.dumps({"questions": [{"id": "q1", "question": "who guards the gate", "document": "pets.txt", "evidence": ["The dog guards the old gate"]}]}))
-    (tmp_path / "c.json").write_text(json.dumps({"name": "Pets", "corpus_dir": str(corpus), "questions": str(tmp_path / "q.json"), "output_dir": f"file://{tmp_path}/out", "strategies": {"small": {"strategy": "fixed", "params": {"chunk_size": 80, "overlap": 0}}, "parents": {"strategy": "parent_child", "params": {"parent_size": 200, "child_size": 60}}}}))
+    (tmp_path / "c.json").write_text(json.dumps({"name": "Pets", "corpus_dir": str(corpus), "questions": str(tmp_path / "q.json"), "output_dir": f"file://{tmp_path}/out", "strategies": {"small": {"strategy": "fixed", "params": {"chunk_size": 80, "overlap": 0}}, "parents": {"strategy": "parent_child", "params": {"parent_size": 200, "child_size": 60}}, "cuts": {"strategy": "semantic", "params": {"min_chars": 0}}}}))
     config = experiment.Config.read(str(tmp_path / "c.json"))
     frames = experiment.run(spark, config, HashProvider(64))
-    assert {(r.label, r.k) for r in frames["summary"].collect()} == {(n, k) for n in ("small", "parents") for k in (1, 3, 5)}
+    assert {(r.label, r.k) for r in frames["summary"].collect()} == {(n, k) for n in ("small", "parents", "cuts") for k in (1, 3, 5)}
     assert all(r.hit == 1 for r in frames["summary"].filter("k = 5").collect())
-    assert "## Results at k = 3" in (tmp_path / "out" / "report.md").read_text()
+    report = (tmp_path / "out" / "report.md").read_text()
+    assert all(f"## {title}" in report for title in ("Setup", "Results at k = 3", "Completeness by question at k = 3", "Semantic cuts near answers", "What the metrics mean"))
+    assert json.loads((tmp_path / "out" / "config.json").read_text())["strategies"]["cuts"]["params"]["threshold_type"] == "percentile"
+    assert frames["boundaries"].count() > 0 and [tuple(r) for r in frames["questions_by_document"].collect()] == [("pets.txt", 1, 1)]
     with pytest.raises(ValueError):
         config.only(["none"])
     assert clip("a |  b" * 9, 8).endswith("…") and clip_left("abcdef", 4) == "…def"
@@ -327,6 +332,55 @@ def test_all_strategies_keep_the_chunk_contract(spark):
     assert all(tuple(r)[1:] == (0, 0, 0) for r in rows), rows
 
 
+def test_settings(tmp_path):
+    (tmp_path / "s.json").write_text('{"top_k": 3, "strategy": "sentence", "params": {"max_chars": 300}}')
+    found = Settings.read(str(tmp_path / "s.json"), {"QUILLSPARK_TOP_K": "7", "QUILLSPARK_PROVIDER": "remote", "QUILLSPARK_CHAT_MODEL": "m"})
+    assert (found.top_k, found.strategy, found.params, found.provider) == (7, "sentence", {"max_chars": 300}, "remote")
+    assert json.loads(found.record())["chat_model"] == "m" and Settings.read(None, {}) == Settings()
+    (tmp_path / "s.json").write_text('{"topk": 3}')
+    with pytest.raises(ValueError, match="topk"):
+        Settings.read(str(tmp_path / "s.json"), {})
+    provider, llm = models(found)
+    assert type(provider).__name__ == "RemoteProvider" and type(llm).__name__ == "RemoteLLM"
+    assert [type(x).__name__ for x in models(found, offline=True)] == ["HashProvider", "Quote"]
+
+
+def test_hosted_model_and_batches(spark):
+    calls = []
+
+    class Client:
+        class chat:
+            class completions:
+                @staticmethod
+                def create(model, messages, temperature):
+                    calls.append((model, messages[0]["content"]))
+                    return SimpleNamespace(choices=[SimpleNamespace(message=SimpleNamespace(content=" said "))])
+
+    assert RemoteLLM("m", Client()).generate("why?") == "said" and calls == [("m", "why?")]
+    prompts = spark.createDataFrame([(1, "Text:\nfirst\n\nrest"), (2, None)], "id long, prompt string")
+    assert {r.id: r.answer for r in generate_all(prompts, Quote()).collect()} == {1: "first", 2: None}
+
+
+def test_index_with_a_cache_sends_each_text_once(spark, tmp_path):
+    docs = spark.createDataFrame([("t", f"f{i}.txt", f"h{i}-1", f"the cat {i}", f"f{i}.txt") for i in range(3)], "tenant_id string, filename string, document_id string, text string, source string")
+    cache = f"file://{tmp_path}/cache"
+    for name in ("a", "b"):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        index(store, docs, PROVIDER, cache=cache).unpersist()
+        assert store.count() == 3
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_semantic_boundaries_as_rows(spark):
+    text = "The cat sat. A cat ran. One cat slept. The dog barked. A dog dug. One dog ate."
+    docs = spark.createDataFrame([("d", text), ("e", " "), ("f", None)], "document_id string, text string")
+    rows = C.semantic_boundaries(docs, KeywordProvider(["cat", "dog"]), {"buffer_size": 0, "breakpoint_threshold": 80.0}).orderBy("idx").collect()
+    assert [r.cut for r in rows] == [False, False, True, False, False, False] and rows[-1].distance is None
+    gold = spark.createDataFrame([(1, 1, "d", 60, 70)], "question_id int, position int, document_id string, e_start int, e_end int")
+    near = V.boundaries_near(spark.createDataFrame(rows), gold, 1).collect()
+    assert sorted(r.idx for r in near) == [3, 4, 5]
+
+
 def test_entry_and_registration(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
