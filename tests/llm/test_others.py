@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -444,3 +445,30 @@ def test_pipeline_stages(spark, tmp_path, words):
         docs = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, docs.collect()))
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, words):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    own = ["topic", "Weight", "keep", "prob", "n_tokens", "score", "predicted", "row", "id", "component", "__row", "blend"]
+    text = lambda i: " ".join(words(i, 40))
+    rows = [(i, text(i), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(None, text(100), None, None, None), (None, text(3), "en", "s0", 1), (None, None, None, None, None), (70, None, "en", None, 0), (70, None, "en", None, 0), (71, "", None, "s1", 0), (72, " \t", "en", "s1", 2)]
+    rows += [(80, text(200), "en", "s1", 1)] * 3 + [(81, text(201), "en", "s1", 1), (81, text(202), "en", "s1", 1), (82, " ".join(words(7, 150_000)), "en", "s2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(f"own {c}") for c in own})
+    spark.createDataFrame([(i, int(i % 2), None) for i in range(40)] + [(None, 1, 0), (5, None, 1), (80, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda frame: sorted((tuple(r) for r in frame.collect()), key=str)
+    before = Counter(map(tuple, docs.collect()))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        again = key(stage(spark, docs.repartition(3), str(tmp_path)))
+        assert key(after) == again, name
+        if n < 3:
+            assert after.columns == docs.columns and not Counter(map(tuple, after.collect())) - before
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()
+    ids = Counter(r.doc_id for r in kept)
+    assert all(ids[i] == 1 for i in (*range(60), 70, 71, 72, 80, 82)) and ids[81] == 2
+    assert sorted(str(r.text)[:20] for r in kept if r.doc_id is None) == sorted([text(100)[:20], "None"])
