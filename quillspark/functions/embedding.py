@@ -19,7 +19,10 @@ class Provider(Protocol):
     def embed_batch(self, texts: list[str]) -> np.ndarray: ...
 
 
-@lru_cache(1 << 16)
+_WORD = re.compile(r"\w+")
+
+
+@lru_cache(1 << 18)
 def _hash(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "little")
 
@@ -31,11 +34,11 @@ class HashProvider:
         self.size, self.name = size, f"hash-{size}"
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), np.float32)
-        out[:, 0] = 0.001
-        for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                out[row, _hash(word) % self.size] += 1
+        words = [_WORD.findall(text.lower()) for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        buckets = np.fromiter((_hash(w) for line in words for w in line), np.int64, len(rows)) % self.size
+        out = np.bincount(rows * self.size + buckets, minlength=len(texts) * self.size).reshape(len(texts), self.size).astype(np.float32)
+        out[:, 0] += np.float32(0.001)
         return out
 
     def embed(self, text: str) -> np.ndarray:
