@@ -88,6 +88,23 @@ def prompt(question: str, results: list[dict[str, Any]]) -> str:
     return f"System Instructions:\n{INSTRUCTION}\n\nContext:\n{context}\n\nQuestion:\n{question}\n\nAnswer:\n"
 
 
+def prompts(ranked: DataFrame, by: list[str], question_col: str = "question") -> DataFrame:
+    """by... and the prompt of every question, from its ranked results: one row each, with rank, chunk_id, score and text.
+
+    A question has as many results as the search returned, so a group is k rows. Other columns are named as metadata.
+    """
+    said = [c for c in ranked.columns if c not in (*by, question_col, "rank")]
+    grouped = ranked.groupBy(*by, question_col).agg(F.sort_array(F.collect_list(F.struct("rank", *said))).alias("__results"))
+    schema = T.StructType([ranked.schema[c] for c in by] + [T.StructField("prompt", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            texts = [prompt(q or "", results) for q, results in zip(batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(texts, pa.string())], names=[*by, "prompt"])
+
+    return grouped.select(*by, question_col, "__results").mapInArrow(run, schema)
+
+
 class Retriever:
     def __init__(self, store: Store, provider: Provider, k: int = 5, expand: bool = False):
         self.store, self.provider, self.k, self.expand = store, provider, k, expand

@@ -7,6 +7,8 @@ queries run over their whole tables. Floats are rounded on both sides.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +21,9 @@ from ..operators import chunking as C
 from ..operators import evaluation as V
 from ..operators import retrieval as R
 from ..operators import store as K
-from ..operators.embed import embed
-from ..operators.indexing import duplicates, version_history
-from ..session import ship, spread
+from ..operators.embed import embed, embed_cached
+from ..operators.indexing import duplicates, index, version_history
+from ..session import remove, shared_dir, ship, spread
 from ..sources import files as S
 from . import experiment as E
 
@@ -195,6 +197,28 @@ def chunk_metadata_aware(spark, sf_dir):
     return chunks.select("chunk_id", "strategy", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+_BLANK = "chr(32) || chr(9) || chr(10)"
+
+
+@query(
+    "WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE trim(text) <> ''), "
+    "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE n > 500), "
+    "m AS (SELECT doc_id, i, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS o FROM l), "
+    f"k AS (SELECT doc_id, i, o + length(t) - length(ltrim(t, {_BLANK})) AS lo, trim(t, {_BLANK}) AS t FROM m WHERE trim(t, {_BLANK}) <> ''), "
+    "r AS (SELECT doc_id, i, lo, CASE WHEN length(t) <= 500 THEN [t] ELSE regexp_extract_all(t, '\\s*\\S+') END AS xs FROM k), "
+    "w AS (SELECT doc_id, i, lo, unnest(xs) AS x, generate_subscripts(xs, 1) AS j FROM r), "
+    f"e AS (SELECT doc_id, lo + sum(length(x)) OVER (PARTITION BY doc_id, i ORDER BY j) AS hi, length(ltrim(x, {_BLANK})) AS n FROM w), "
+    "h AS (SELECT doc_id, CAST(hi AS BIGINT) AS hi, n, unnest(range(0, n, 500)) AS s FROM e), "
+    "g AS MATERIALIZED (SELECT doc_id, hi - n + s AS lo, least(hi - n + s + 500, hi) AS hi, row_number() OVER (PARTITION BY doc_id ORDER BY hi - n + s) AS i FROM h), "
+    "p(doc_id, i, a, z, c) AS (SELECT doc_id, i, lo, hi, 0 FROM g WHERE i = 1 UNION ALL SELECT g.doc_id, g.i, CASE WHEN g.hi - p.a <= 500 THEN p.a ELSE g.lo END, g.hi, CASE WHEN g.hi - p.a <= 500 THEN p.c ELSE p.c + 1 END FROM p JOIN g ON g.doc_id = p.doc_id AND g.i = p.i + 1), "
+    "q AS (SELECT doc_id, c, min(a) AS a, max(z) AS z FROM p GROUP BY doc_id, c UNION ALL SELECT doc_id, 0, 0, n FROM d WHERE n <= 500) "
+    "SELECT doc_id || '_chunk_' || c AS chunk_id, CAST(a AS INT) AS \"start\", CAST(z AS INT) AS \"end\", md5(substring(text, a + 1, z - a)) AS digest FROM q JOIN d USING (doc_id)"
+)
+def chunk_recursive_line_word(spark, sf_dir):
+    """The recursive strategy as the default rules route CSV and JSON: lines, then words."""
+    return _digest(C.chunk(_docs(spark, sf_dir), "recursive", {"chunk_size": 500, "separators": ["line", "word"]}))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1) THEN 'recursive' WHEN doc_id % 7 IN (2, 3, 4) THEN 'structure' ELSE 'recursive' END AS strategy, CASE WHEN doc_id % 7 IN (0, 1) THEN 0 WHEN doc_id % 7 IN (2, 3, 4) THEN 1 ELSE -1 END AS rule FROM documents")
 def route_strategy(spark, sf_dir):
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("csv", "json", "markdown", "html", "docx", "txt", "pdf")]), (F.col("doc_id") % 7 + 1).cast("int"))
@@ -284,6 +308,33 @@ def embedding_cache_dedup(spark, sf_dir):
     return keys.agg(F.count("*").alias("misses"), (F.sum("n") - F.count("*")).alias("hits"))
 
 
+@query("SELECT unnest([1, 2]) AS run, unnest([count(DISTINCT coalesce(text, '')), 0]) AS misses, unnest([count(*) - count(DISTINCT coalesce(text, '')), count(*)]) AS hits, unnest([count(*), count(*)]) AS embedded FROM documents")
+def embedding_cache_runs(spark, sf_dir):
+    """All texts embedded twice through one cache: what was sent, what was spared, and the rows that got a vector."""
+    rows, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/quillspark-cache-{uuid.uuid4().hex[:8]}"
+    told = []
+    try:
+        for run in (1, 2):
+            found, counts = embed_cached(spread(rows), HashProvider(64), path)
+            told.append((run, counts["misses"], counts["hits"], found.filter(F.size("embedding") == 64).count()))
+    finally:
+        remove(spark, path)
+    return spark.createDataFrame(told, "run int, misses long, hits long, embedded long")
+
+
+@query("WITH u AS (SELECT DISTINCT lang AS tenant_id, text FROM documents WHERE trim(text) <> ''), c AS (SELECT tenant_id, length(text) AS n FROM u) SELECT tenant_id, count(*) AS documents, CAST(sum(CASE WHEN n <= 500 THEN 1 ELSE CAST(ceil((n - 500) / 450.0) AS INT) + 1 END) AS BIGINT) AS records, CAST(1 AS INT) AS versions FROM c GROUP BY tenant_id")
+def index_store(spark, sf_dir):
+    """All documents indexed twice into a store, each under a name of its own: equal contents of a tenant are stored once, and the second run adds nothing."""
+    path = f"{shared_dir(spark)}/quillspark-store-{uuid.uuid4().hex[:8]}"
+    atexit.register(remove, spark, path)  # the result reads the store
+    name = F.lpad(F.col("doc_id").cast("string"), 20, "0")
+    docs = _docs(spark, sf_dir).filter(F.trim("text") != "").withColumns({"source": name, "filename": name, "document_id": X.document_id(X.content_hash(F.col("text")), F.lit(1))}).drop("doc_id")
+    store = K.Store(spark, path)
+    for _ in range(2):
+        index(store, docs, HashProvider(64)).unpersist()
+    return store.rows().groupBy("tenant_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("records"), F.max("version").cast("int").alias("versions"))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 
@@ -415,6 +466,22 @@ def source_lines(spark, sf_dir):
     return rows.select("query_id", "vec_id", line.alias("line"))
 
 
+_SAID = R.INSTRUCTION.replace("'", "''")
+
+
+@query(
+    f"WITH {_BATCH}, t AS (SELECT r.query_id, rank, 'Chunk ID: ' || r.vec_id || chr(10) || 'Similarity score: ' || printf('%.6f', s) || chr(10) || r.vec_id || ' | Source: file' || (r.vec_id % 7) || ' | Document: d' || r.vec_id || chr(10) || 'Metadata: {{\"document_id\": \"d' || r.vec_id || '\", \"filename\": \"file' || (r.vec_id % 7) || '\", \"label\": ' || e.label || '}}' || chr(10) || 'Text:' || chr(10) || 'text ' || r.vec_id AS part FROM r JOIN embeddings e USING (vec_id) WHERE rank <= 5) "
+    f"SELECT query_id, length(p) AS n, md5(p) AS digest FROM (SELECT query_id, 'System Instructions:' || chr(10) || '{_SAID}' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question:' || chr(10) || 'What is near ' || query_id || '?' || chr(10) || chr(10) || 'Answer:' || chr(10) AS p FROM t GROUP BY query_id)"
+)
+def prompt_text(spark, sf_dir):
+    """The prompt of every query of the batch, from its five nearest vectors."""
+    v = F.col("vec_id").cast("string")
+    rows = _batch(spark, sf_dir, 5).join(_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("group")), "vec_id")
+    told = rows.select("query_id", F.concat(F.lit("What is near "), F.col("query_id").cast("string"), F.lit("?")).alias("question"), "rank", v.alias("chunk_id"), "score", F.concat(F.lit("file"), (F.col("vec_id") % 7).cast("string")).alias("filename"), F.concat(F.lit("d"), v).alias("document_id"), F.col("group").alias("label"), F.concat(F.lit("text "), v).alias("text"))
+    found = R.prompts(told, ["query_id"])
+    return found.select("query_id", F.length("prompt").cast("long").alias("n"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
 # --- versions and tenants ------------------------------------------------------------------------
 
 
@@ -522,18 +589,45 @@ _RANKED = (
 )
 
 
+_SHOWN = ("precision", "hit", "reciprocal_rank")
+
+
+def _measured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The metrics of two strategies under the stated ranking, and the passages."""
+    ranked, gold = _rankings(spark, sf_dir, ("fixed", "sliding_window"))
+    gold = gold.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id")))
+    return V.question_metrics(ranked, ranked, gold, [1, 3, 5], ["label"]), gold
+
+
 @query(f"WITH {_RANKED} SELECT label, question_id, k, round(precision, 6) AS precision, round(hit, 6) AS hit, round(reciprocal_rank, 6) AS reciprocal_rank FROM m")
 def question_metrics(spark, sf_dir):
-    ranked, gold = _rankings(spark, sf_dir, ("fixed", "sliding_window"))
-    found = V.question_metrics(ranked, ranked, gold.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id"))), [1, 3, 5], ["label"])
-    return found.select("label", "question_id", "k", *[F.round(F.col(m).cast("double"), 6).alias(m) for m in ("precision", "hit", "reciprocal_rank")])
+    found, _ = _measured(spark, sf_dir)
+    return found.select("label", "question_id", "k", *[F.round(F.col(m).cast("double"), 6).alias(m) for m in _SHOWN])
 
 
 @query(f"WITH {_RANKED} SELECT label, k, round(avg(precision), 6) AS precision, round(avg(hit), 6) AS hit, round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM m GROUP BY ALL")
 def metrics_by_strategy(spark, sf_dir):
-    ranked, gold = _rankings(spark, sf_dir, ("fixed", "sliding_window"))
-    found = V.question_metrics(ranked, ranked, gold.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id"))), [1, 3, 5], ["label"])
-    return V.averages(found, ["label", "k"]).select("label", "k", *[F.round(m, 6).alias(m) for m in ("precision", "hit", "reciprocal_rank")])
+    return V.averages(_measured(spark, sf_dir)[0], ["label", "k"]).select("label", "k", *[F.round(m, 6).alias(m) for m in _SHOWN])
+
+
+@query(f"WITH {_RANKED} SELECT label, document_id, k, count(*) AS questions, round(avg(precision), 6) AS precision, round(avg(hit), 6) AS hit, round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM m JOIN gd USING (question_id) GROUP BY ALL")
+def metrics_by_document(spark, sf_dir):
+    """Means over the questions whose passage a document holds."""
+    found, gold = _measured(spark, sf_dir)
+    rows = found.join(gold.select("question_id", "document_id").distinct(), "question_id")
+    keys = ["label", "document_id", "k"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("questions"), *[F.round(F.avg(m), 6).alias(m) for m in _SHOWN])
+
+
+@query(f"WITH {_RANKED}, a AS (SELECT label, document_id, round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM m JOIN gd USING (question_id) WHERE k = 3 GROUP BY ALL) SELECT label, document_id, reciprocal_rank, reciprocal_rank = max(reciprocal_rank) OVER (PARTITION BY document_id) AS is_best FROM a")
+def best_by_document(spark, sf_dir):
+    means = QUERIES["metrics_by_document"](spark, sf_dir).filter("k = 3").select("label", "document_id", "reciprocal_rank")
+    return V.best(means, "reciprocal_rank", ["document_id"])
+
+
+@query(f"WITH {_GOLD} SELECT document_id, count(DISTINCT question_id) AS questions, count(*) AS passages FROM g GROUP BY document_id")
+def questions_by_document(spark, sf_dir):
+    return _gold(spark, sf_dir).groupBy("document_id").agg(F.countDistinct("question_id").alias("questions"), F.count("*").alias("passages"))
 
 
 @query(f"WITH {_RANKED}, a AS (SELECT label, k, round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM m GROUP BY ALL) SELECT label, k, reciprocal_rank, reciprocal_rank = max(reciprocal_rank) OVER (PARTITION BY k) AS is_best FROM a")

@@ -76,7 +76,8 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder."""
     try:
         fs, where = hadoop_path(spark, path)
         fs.delete(where, True)
@@ -98,6 +99,6 @@ def ship(spark: SparkSession) -> None:
     folder = f"{shared_dir(spark)}/quillspark-code-{uuid.uuid4().hex[:8]}"
     path = f"{folder}/quillspark-{name}.zip"
     write_bytes(spark, path, image.getvalue())
-    atexit.register(_remove, spark, folder)
+    atexit.register(remove, spark, folder)
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)

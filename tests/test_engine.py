@@ -19,7 +19,7 @@ from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
 from quillspark.operators import store as store_module
 from quillspark.operators.indexing import index, plan, replay
-from quillspark.operators.retrieval import NO_CONTEXT, Answerer, RemoteLLM, Retriever, expand_to_context, generate_all, prompt
+from quillspark.operators.retrieval import NO_CONTEXT, Answerer, RemoteLLM, Retriever, expand_to_context, generate_all, prompt, prompts
 from quillspark.operators.store import Store, store_name, top_k, top_k_batch
 from quillspark.plans import experiment
 from quillspark.plans.app import Quote, models, question_loop
@@ -209,6 +209,14 @@ def test_prompt():
     assert "No context was retrieved." in prompt("Why?", [])
 
 
+def test_prompts_of_a_frame(spark):
+    """The same prompts as one by one, results in order of rank; a null question is an empty one."""
+    rows = [(1, "Why?", 2, "b", 0.25, "B", None), (1, "Why?", 1, "a", 0.5, "A", "f"), (2, None, 1, "a", 0.5, "A", "f")]
+    found = {r.id: r.prompt for r in prompts(spark.createDataFrame(rows, "id long, question string, rank int, chunk_id string, score double, text string, filename string"), ["id"]).collect()}
+    a, b = ({"chunk_id": c, "score": s, "text": t, "filename": f} for c, s, t, f in (("a", 0.5, "A", "f"), ("b", 0.25, "B", None)))
+    assert found == {1: prompt("Why?", [a, b]), 2: prompt("", [a])}
+
+
 def test_expansion(spark):
     rows = [(1, "c1", "one", "p", "PPP"), (2, "c2", "two", "p", "PPP"), (3, "c3", "three", None, None), (4, "c4", "four", None, None)]
     got = expand_to_context(spark.createDataFrame(rows, "rank int, chunk_id string, text string, context_id string, context_text string")).orderBy("rank").collect()
