@@ -7,6 +7,8 @@ a failed job.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import hadoop_path
+from ..session import hadoop_path, read_bytes, remove, shared_dir
 from .parsers import Parser, parsers
 
 # Types by extension and by MIME type, and what a sidecar may say.
@@ -34,9 +36,11 @@ SIDECAR_FIELDS = ("department", "category", "date", "author", "tenant_id", "titl
 SIDECAR = ".meta.json"
 MAX_BYTES = 50 * 1024 * 1024
 SNIFF = 8192
+COPY_BYTES = 64 * 1024 * 1024
 _MB = 1_048_576
 
 META = T.StructType([T.StructField(n, k) for n, k in (("title", T.StringType()), ("author", T.StringType()), ("date", T.StringType()), ("encoding", T.StringType()), ("page_count", T.IntegerType()), ("row_count", T.IntegerType()), ("column_count", T.IntegerType()))])
+HELD = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 PARSED = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("sections", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("page_number", T.IntegerType())]))),
     T.StructField("format", META), T.StructField("error", T.StringType()),
@@ -92,12 +96,36 @@ def signature_error(name: str, kind: str, data: bytes) -> str | None:
     return None
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, length and content of a folder's own files, without dot-files and sidecars.
+def held(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, length and content of a folder's own files that aren't empty, whatever their names begin with.
 
-    Spark's source also leaves out names that begin with an underscore.
+    Spark's source leaves out names that begin with an underscore. Where there are such, the driver copies them, in blocks of
+    bounded size, to a table in the shared folder; those above ``max_bytes`` without content.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length", "content")
+    fs, where = hadoop_path(spark, folder)
+    hidden = [(str(s.getPath()), s.getLen()) for s in fs.listStatus(where) if s.isFile() and s.getLen() > 0 and s.getPath().getName().startswith("_")]
+    if not hidden:
+        return found
+    copy = f"{shared_dir(spark)}/quillspark-files-{uuid.uuid4().hex[:8]}"
+    atexit.register(remove, spark, copy)
+    block: list[tuple] = []
+    size = 0
+    for n, (path, length) in enumerate(hidden, 1):
+        if length <= max_bytes:
+            block.append((path, length, read_bytes(spark, path)))
+            size += length
+        else:
+            block.append((path, length, None))
+        if n == len(hidden) or size >= COPY_BYTES:
+            spark.createDataFrame(block, HELD).write.mode("append").parquet(copy)
+            block, size = [], 0
+    return found.unionByName(spark.read.schema(HELD).parquet(copy))
+
+
+def scan(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
+    """path, name, length and content of a folder's own files, without dot-files and sidecars."""
+    found = held(spark, folder) if found is None else found
     name = file_name(F.col("path"))
     rows = found.select("path", name.alias("name"), "length", "content")
     return rows.filter(~F.col("name").startswith(".") & ~F.lower("name").endswith(SIDECAR))
@@ -111,9 +139,9 @@ def empty_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, name string")
 
 
-def sidecars(spark: SparkSession, folder: str) -> DataFrame:
+def sidecars(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
     """stem (path without suffix), side (the fields) and side_error of each sidecar file."""
-    found = spark.read.format("binaryFile").load(folder).filter(F.lower(file_name(F.col("path"))).endswith(SIDECAR))
+    found = (held(spark, folder) if found is None else found).filter(F.lower(file_name(F.col("path"))).endswith(SIDECAR))
     text = F.col("content").cast("string")
     value = F.try_parse_json(text)
     kind = F.schema_of_variant(value)
@@ -161,14 +189,15 @@ def parse_files(files: DataFrame, registry: dict[str, Parser] | None = None) ->
 
 def ingest(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, registry: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents, and a log with one row per file: path, name, source_type, file_hash, documents, error."""
-    files = scan(spark, folder).withColumn("kind", file_type(F.col("name")))
+    found = held(spark, folder, max_bytes)
+    files = scan(spark, folder, found).withColumn("kind", file_type(F.col("name")))
     unknown = F.concat(F.lit("Unsupported file type for "), F.col("name"), F.lit(f". Supported extensions: {', '.join(supported_extensions())}."))
     early = F.coalesce(size_error(F.col("name"), F.col("length"), max_bytes), F.when(F.col("kind").isNull(), unknown))
     checked = files.withColumn("early", early)
     good = checked.filter("early IS NULL").withColumn("file_hash", F.sha2("content", 256))
     facts = good.select("path", "name", "length", "kind", "file_hash")
     parsed = facts.join(parse_files(good, registry), "path").withColumn("stem", F.regexp_replace("path", r"\.[^./]*$", ""))
-    side = sidecars(spark, folder)
+    side = sidecars(spark, folder, found)
     whole = parsed.join(side, "stem", "left").withColumn("error", F.coalesce("error", "side_error"))
     said = lambda key: F.col("side")[key]
     rows = whole.filter("error IS NULL").select("*", F.posexplode("sections").alias("at", "section"))

@@ -6,9 +6,11 @@ import io
 import json
 import zipfile
 import zlib
+from pathlib import Path
 
 import pytest
 
+from quillspark.sources import files
 from quillspark.sources import parsers as P
 from quillspark.sources.files import ingest, load_questions, supported_extensions
 
@@ -117,6 +119,18 @@ def test_ingest(spark, folder):
     assert len(supported_extensions()) == 10
 
 
+def test_names_with_an_underscore(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "COPY_BYTES", 8)  # several blocks
+    for name in ("a.txt", "b.md", "big.txt", "empty.txt", "nul.txt", "a.meta.json", "b.meta.json"):
+        (tmp_path / f"_{name}").write_bytes(Path(folder, name).read_bytes())
+    (tmp_path / "plain.txt").write_text("Seen by Spark")
+    documents, log = ingest(spark, str(tmp_path), max_bytes=4000)
+    assert {(r.filename, r.text, r.department, r.tenant_id) for r in documents.collect()} == {("plain.txt", "Seen by Spark", None, None), ("_a.txt", "Plain\n text", "HR", "t1")}
+    errors = {r.name: r.error for r in log.collect()}
+    assert set(errors) == {"plain.txt", "_a.txt", "_b.md", "_big.txt", "_empty.txt", "_nul.txt"} and errors["_a.txt"] is None
+    assert "colour" in errors["_b.md"] and "limit" in errors["_big.txt"] and errors["_empty.txt"] == "_empty.txt is empty." and "binary" in errors["_nul.txt"]
+
+
 def test_questions(spark, tmp_path):
     path = tmp_path / "q.json"
     path.write_text(json.dumps({"questions": [{"id": "q1", "question": "?", "document": "a.txt", "evidence": ["x", "y"]}]}))
