@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.embedding import Provider
+from ..session import remove, written
 from .chunking import chunk, with_context
 from .embed import embed, embed_cached
 from .store import Store
@@ -91,7 +92,7 @@ def replay(stored: list[tuple], arrivals: list[tuple]) -> list[tuple]:
 
 
 def plan(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """PLAN rows for arrivals (tenant_id, seq, filename, document_id) against a store's records.
+    """PLAN rows for arrivals (tenant_id, seq, filename, document_id) against a store's records, as a table of ids and names.
 
     Records without a tenant count for every tenant that arrives.
     """
@@ -110,24 +111,30 @@ def plan(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
         return made
 
     named = lines.withColumn("__name", F.coalesce("filename", F.lit("\u0000")))
-    return named.join(_entangled(named), ["tenant_id", "__name"]).groupBy("tenant_id", "__group").applyInPandas(one, PLAN)
+    groups, path = _entangled(named)
+    done, _ = written(named.join(groups, ["tenant_id", "__name"]).groupBy("tenant_id", "__group").applyInPandas(one, PLAN))
+    remove(stored.sparkSession, path)
+    return done
 
 
-def _entangled(lines: DataFrame) -> DataFrame:
-    """tenant_id, __name, __group: names are of one group if they share a document, directly or through others.
+def _entangled(lines: DataFrame) -> tuple[DataFrame, str]:
+    """A table of tenant_id, __name, __group, and its path: names are of one group if they share a document, directly or through others.
 
     Only such names bear on each other, so groups are replayed apart; most are one file. Each round gives every name the least
     name of its documents' groups.
     """
-    edges = lines.select("tenant_id", "__name", "document_id").distinct().persist()
-    found = edges.select("tenant_id", "__name").distinct().withColumn("__group", F.col("__name"))
+    edges, own = written(lines.select("tenant_id", "__name", "document_id").distinct())
+    found, last = written(edges.select("tenant_id", "__name").distinct().withColumn("__group", F.col("__name")))
     while True:
         least = edges.join(found, ["tenant_id", "__name"]).groupBy("tenant_id", "document_id").agg(F.min("__group").alias("__g"))
         then = edges.join(least, ["tenant_id", "document_id"]).groupBy("tenant_id", "__name").agg(F.min("__g").alias("__g"))
-        step = found.join(then, ["tenant_id", "__name"]).select("tenant_id", "__name", F.col("__group").alias("__before"), F.col("__g").alias("__group")).persist()
-        if step.filter("__before <> __group").isEmpty():
-            return step.drop("__before")
-        found = step.drop("__before")
+        step, path = written(found.join(then, ["tenant_id", "__name"]).select("tenant_id", "__name", F.col("__group").alias("__before"), F.col("__g").alias("__group")))
+        settled = step.filter("__before <> __group").isEmpty()
+        remove(lines.sparkSession, last)
+        found, last = step.drop("__before"), path
+        if settled:
+            remove(lines.sparkSession, own)
+            return found, path
 
 
 def version_history(arrivals: DataFrame) -> DataFrame:
@@ -153,7 +160,7 @@ def index(store: Store, documents: DataFrame, provider: Provider, strategy: str
     """
     old = store.rows()
     arriving = _arriving(documents)
-    done = plan(old, arriving).persist()  # ids and names only
+    done = plan(old, arriving)
     fresh = arriving.join(done.filter("action = 'index' AND live").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"])
     prefix = F.concat("tenant_id", F.lit(":"), "document_id")
     keyed = fresh.withColumn("doc_key", prefix)

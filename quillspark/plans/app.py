@@ -49,11 +49,7 @@ def build(spark, root: str, strategy: str = "fixed", provider: Provider | None =
 def index_folder(spark, folder: str, store: Store, provider: Provider, strategy: str, params: dict | None = None, cache: str | None = None) -> list[str]:
     documents, log = ingest(spark, folder)
     said = [f"{r.name}: {r.error}" for r in log.filter("error IS NOT NULL").orderBy("path").toLocalIterator()]
-    done = index(store, documents, provider, strategy, params, cache)
-    try:
-        return said + list(log_lines(done))
-    finally:
-        done.unpersist()
+    return said + list(log_lines(index(store, documents, provider, strategy, params, cache)))
 
 
 def question_loop(answerer: Answerer, lines=sys.stdin, out=print) -> None:

@@ -157,7 +157,7 @@ def transcript_windows(spark, sf_dir):
     return _digest(C.chunk(whole.select(F.col("conv_id").cast("string").alias("document_id"), "text"), "sliding_window"))
 
 
-@query("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 200)) AS a FROM documents) SELECT doc_id, count(*) AS n, sum(length(p)) AS chars, md5(string_agg(p, '|' ORDER BY a)) AS digest FROM (SELECT doc_id, a, trim(substring(text, CAST(a + 1 AS INT), 200), ' ' || chr(10)) AS p FROM s) WHERE p <> '' GROUP BY doc_id")
+@query("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 200)) AS a FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS chars, md5(string_agg(p, '|' ORDER BY a)) AS digest FROM (SELECT doc_id, a, trim(substring(text, CAST(a + 1 AS INT), 200), ' ' || chr(10)) AS p FROM s) WHERE p <> '' GROUP BY doc_id")
 def hard_split_200(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     spans = C.spans_frame(docs, lambda text: P.slabs(text, 0, len(text), 200))
@@ -331,7 +331,7 @@ def index_store(spark, sf_dir):
     docs = _docs(spark, sf_dir).filter(F.trim("text") != "").withColumns({"source": name, "filename": name, "document_id": X.document_id(X.content_hash(F.col("text")), F.lit(1))}).drop("doc_id")
     store = K.Store(spark, path)
     for _ in range(2):
-        index(store, docs, HashProvider(64)).unpersist()
+        index(store, docs, HashProvider(64))
     return store.rows().groupBy("tenant_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("records"), F.max("version").cast("int").alias("versions"))
 
 

@@ -85,6 +85,15 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Rows as a table in the shared folder, which cuts their lineage, and its path; it goes with ``remove`` or at exit."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/quillspark-rows-{uuid.uuid4().hex[:8]}"
+    atexit.register(remove, spark, path)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application, for clusters where it isn't installed."""
     app = spark.sparkContext.applicationId

@@ -37,7 +37,7 @@ def stream_folder(spark: SparkSession, folder: str, store: Store, provider: Prov
     files = spark.readStream.format("binaryFile").schema(BINARY).load(folder)
 
     def take(batch: DataFrame, _: int) -> None:
-        index(store, documents_of(batch), provider, strategy, params).unpersist()
+        index(store, documents_of(batch), provider, strategy, params)
 
     writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
