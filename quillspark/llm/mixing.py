@@ -222,17 +222,23 @@ def mix_and_report(
     """``mix`` and the margins: margin, value, tokens, target, feasible, reached (tokens) and blend."""
     targets = targets or {}
     kept = list(dict.fromkeys([*(docs.columns if keep is None else keep), id_col, source_col, lang_col]))
+    p = topics or topic_model.Params()
     base = docs if topic is None else docs.withColumn("__given", topic)
-    base = topic_model.read_topics(base, topics or topic_model.Params(), id_col, text_col, kept + ["__given"] * (topic is not None), "__n", "__topic")
+    base = topic_model.count(base, p, id_col, text_col, kept + ["__given"] * (topic is not None), "__n")
+    model = topic_model.fit(base, p) if topic is None else None
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    base = base.withColumns({"__source": value(f"`{source_col}`"), "__lang": value(f"`{lang_col}`"), "__topic": value("__topic" if topic is None else "__given")})
-    base = materialise(base.drop("__given"), "read")
-    cells = materialise(base.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__n").alias("tokens")), "cells")
+
+    def placed(columns: list[str]) -> DataFrame:
+        rows = base if topic is not None else topic_model.assign(base, model, p, columns, "__topic")
+        return rows.withColumns({"__source": value(f"`{source_col}`"), "__lang": value(f"`{lang_col}`"), "__topic": value("__topic" if topic is None else "__given")})
+
+    cells = placed(list(dict.fromkeys([source_col, lang_col, "__n"]))).groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__n").alias("tokens"))
+    cells = materialise(cells, "cells")
     few = cells.limit(local_cells + 1).count() <= local_cells
     raked = materialise((_rake_here if few else _rake_frames)(cells, powers, budget, targets), "probabilities")
     discard(cells)
     found = raked.filter("kind = 'cell'").select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("prob").alias("__p"), F.col("blend").alias("__blend"))
-    joined = base.join(F.broadcast(found) if few else found, [f"__{m}" for m in MARGINS], "left")
+    joined = placed([*kept, "__n"]).join(F.broadcast(found) if few else found, [f"__{m}" for m in MARGINS], "left")
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     out = joined.withColumn("__keep", draw < F.col("__p"))
     added = ["n_tokens", "topic", "prob", "weight", "keep", "blend"]

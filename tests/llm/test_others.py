@@ -241,6 +241,25 @@ def test_topics_are_clusters_of_words(spark, words):
     assert read(docs.repartition(5)) == got
 
 
+def test_topics_are_fitted_on_all_documents(spark, words):
+    """A kind of text that only long documents have gets a topic of its own, and the centres are those of all documents' vectors."""
+    kinds = [words(10 * k, 40) for k in range(3)]
+    rows = [(i, " ".join(np.random.default_rng(i).choice(kinds[2 if i % 30 == 0 else i % 2], 600 if i % 30 == 0 else 30))) for i in range(300)]
+    docs, p = spark.createDataFrame(rows, "doc_id long, text string"), topics.Params(topics=3, max_chars=400)
+    bags = topics.count(docs, p, "doc_id", "text", ["doc_id", "text"], "n")
+    vectors, centres = topics.fit(bags, p)
+    got = {r.doc_id: r.topic for r in topics.assign(bags, (vectors, centres), p, ["doc_id"], "topic").collect()}
+    assert len({got[i] for i in range(0, 300, 30)}) == 1 and got[0] not in {got[i] for i in range(300) if i % 30}
+    held = Counter(w for _, t in rows for w in {topics._Known(p.buckets)[w.encode()] for w in t.split()})
+    assert all(np.abs(vectors[b]).max() == np.rint(np.log(301 / (1 + n)) * topics.WEIGHT) for b, n in held.items())
+    counts = [Counter(topics._Known(p.buckets)[w.encode()] for w in t.split()) for _, t in rows]
+    x = topics.unit(np.stack([sum(n * vectors[b] for b, n in c.items()) for c in counts]))
+    own = (x @ centres.T).argmax(1)
+    assert [f"topic-{t}" for t in own] == [got[i] for i in range(300)]
+    assert np.array_equal(topics.unit(np.stack([x[own == k].sum(0) for k in range(3)])), centres)
+    assert all(r.n == len(r.text.split()) for r in bags.collect())
+
+
 def test_warc_roundtrip(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 700)
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
