@@ -5,12 +5,14 @@ normalised sum of those of its neighbours in the training texts. A document is t
 spread of its words' vectors with three counts. A two-layer network in numpy scores it, and a
 temperature fitted on rows that the training didn't see makes the scores probabilities.
 
-The fit reads a bounded sample (``max_rows`` labelled rows of each class, those of least hash) in one
-task, and of these the texts of at most ``max_chars`` characters, one for an id that repeats; word vectors live in a table of fixed size, so the model's size doesn't depend on the corpus.
-Scoring is one pass over whole texts without a shuffle.
-
-Edge cases: null and empty texts get a score like any other, from vectors of zero; documents without
-a label are scored; a document with several label rows counts as the least of them, null labels
+The fit reads the whole text of every labelled document: one pass turns texts to bucket numbers, one sums the words' neighbours,
+one pools each document to a row of features. The network is trained on blocks of about ``block_rows`` of these rows, dealt by hash. All epochs
+see all rows: blocks train side by side for ``epochs`` / ``merges`` epochs at a time, and then their weights and moments are averaged by
+rows; up to ``block_rows`` rows are one block. A block sends its weights to the driver, 30 KB for each. Word vectors live in a
+table of fixed size, so the model's size doesn't depend on the corpus. Scoring is one pass over whole texts without a shuffle.
+
+Edge cases: null and empty texts get a score like any other, from vectors of zero, and are learnt from if labelled; documents without
+a label are scored; equal rows of an id count once in the fit, its different texts each; a document with several label rows counts as the least of them, null labels
 are no labels; with no labels, or one class only, every score is the share of label 1 (0.5 without
 any); an empty table gives an empty result; clashing columns of the input are replaced.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import among, discard, map_text, materialise
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,8 @@ class Params:
     epochs: int = 400
     rate: float = 0.01
     decay: float = 1e-3
-    max_rows: int = 2000
-    max_chars: int = 50_000
+    block_rows: int = 4000
+    merges: int = 20
     seed: int = 11
     threshold: float = 0.3
 
@@ -132,56 +134,126 @@ class Model:
             return Model(dict(found), p)
 
 
-def train(texts: Iterator[tuple[str, int, float]], p: Params) -> Model:
-    """Fit on (text, label, weight); every fifth row is kept for the temperature."""
-    words, index = Words(p), index_vectors(p)
-    docs, labels, weights = [], [], []
-    context = np.zeros((p.buckets, p.size), np.float64)
-    for text, label, weight in texts:
-        ids = words.ids(text)
-        docs.append(ids)
-        labels.append(label)
-        weights.append(weight)
-        for lo in range(0, len(ids), 20_000):  # long texts in pieces; neighbours reach over the cuts
-            part = ids[max(0, lo - 2 * p.window) : lo + 20_000 + 2 * p.window]
-            near = np.zeros((len(part), p.size), np.float32)
-            for step in range(1, 2 * p.window + 1):
-                near[step:] += index[part[:-step]] if step < len(part) else 0
-                near[:-step] += index[part[step:]] if step < len(part) else 0
-            own = slice(min(lo, 2 * p.window), min(lo, 2 * p.window) + min(20_000, len(ids) - lo))
-            np.add.at(context, part[own], near[own])
-    y, weight = np.array(labels, np.float64), np.array(weights, np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model({"share": np.array(y.mean() if len(y) else 0.5)}, p)
+def _place(p: Params) -> type:
+    return np.uint16 if p.buckets <= 1 << 16 else np.uint32
+
+
+def neighbours(ids: np.ndarray, signs: np.ndarray, p: Params, context: np.ndarray) -> None:
+    """Add to each bucket of ``context`` the signs of the words around its places in one text."""
+    reach = 2 * p.window
+    for lo in range(0, len(ids), 20_000):  # long texts in pieces; neighbours reach over the cuts
+        part = ids[max(0, lo - reach) : lo + 20_000 + reach]
+        index = signs[part]
+        near = np.zeros((len(part), p.size), np.int16)
+        for step in range(1, min(reach, len(part) - 1) + 1):
+            near[step:] += index[:-step]
+            near[:-step] += index[step:]
+        first, size = min(lo, reach), min(20_000, len(ids) - lo)
+        own = part[first : first + size]
+        order = np.argsort(own, kind="stable")
+        kinds, starts = np.unique(own[order], return_index=True)
+        context[kinds] += np.add.reduceat(near[first : first + size][order], starts, axis=0, dtype=np.int64)
+
+
+def word_vectors(words: DataFrame, p: Params) -> np.ndarray:
+    """Index vectors and the unit sums of their neighbours' over all texts; the sums are whole numbers, so their order doesn't matter."""
+    index, place, parts = index_vectors(p), _place(p), 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, signs = np.zeros((p.buckets, p.size), np.int64), np.sign(index).astype(np.int16)
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                neighbours(np.frombuffer(ids, place), signs, p, context)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "sums": pa.array([c.tobytes() for c in np.array_split(context, parts)], pa.binary())})
+
+    def summed(group: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(c, np.int64) for c in group.column("sums").to_pylist())
+        return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    schema = "part int, sums binary"
+    found = words.select("ids").mapInArrow(run, schema).groupBy("part").applyInArrow(summed, schema).collect()
+    context = np.frombuffer(b"".join(bytes(r.sums) for r in sorted(found, key=lambda r: r.part)), np.int64).reshape(-1, p.size).astype(np.float64) if found else np.zeros((p.buckets, p.size))
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = (index + context / np.maximum(norm, 1e-9)).astype(np.float32)
-    x = np.stack([pooled(d, vectors) for d in docs]).astype(np.float64)
-    held = np.arange(len(y)) % 5 == 4
-    fit = ~held
-    a = {"vectors": vectors, "mean": x[fit].mean(0), "scale": x[fit].std(0) + 1e-3}
-    rng = np.random.default_rng(p.seed)
-    a["w1"], a["b1"] = rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], p.hidden)), np.zeros(p.hidden)
-    a["w2"], a["b2"] = rng.normal(0, 1 / math.sqrt(p.hidden), p.hidden), np.zeros(())
-    z, t, v = (x[fit] - a["mean"]) / a["scale"], y[fit], weight[fit] / weight[fit].sum()
-    first, second = {k: 0.0 for k in ("w1", "b1", "w2", "b2")}, {k: 0.0 for k in ("w1", "b1", "w2", "b2")}
-    for epoch in range(1, p.epochs + 1):
+    return (index + context / np.maximum(norm, 1e-9)).astype(np.float32)
+
+
+#: The network's weights, in the order in which they are packed together.
+WEIGHTS = ("w1", "b1", "w2", "b2")
+
+
+def _shapes(p: Params) -> dict[str, tuple[int, ...]]:
+    return {"w1": (2 * p.size + 3, p.hidden), "b1": (p.hidden,), "w2": (p.hidden,), "b2": ()}
+
+
+def _joined(a: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.ravel(a[k]) for k in WEIGHTS])
+
+
+def _parted(flat: np.ndarray, p: Params) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, shape in _shapes(p).items():
+        size = math.prod(shape)
+        out[k] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
+
+def epochs_of(z: np.ndarray, t: np.ndarray, state: np.ndarray, epochs: range, p: Params) -> np.ndarray:
+    """Weights and their two moments, as three rows, after some epochs of Adam on the standardised rows of one block."""
+    a, first, second = (_parted(row, p) for row in state)
+    for epoch in epochs:
         hidden = np.tanh(z @ a["w1"] + a["b1"])
-        error = (sigmoid(hidden @ a["w2"] + a["b2"]) - t) * v
+        error = (sigmoid(hidden @ a["w2"] + a["b2"]) - t) / len(t)
         back = np.outer(error, a["w2"]) * (1 - hidden * hidden)
         slopes = {"w1": z.T @ back + p.decay * a["w1"], "b1": back.sum(0), "w2": hidden.T @ error + p.decay * a["w2"], "b2": error.sum()}
         for k, slope in slopes.items():
             first[k] = 0.9 * first[k] + 0.1 * slope
             second[k] = 0.999 * second[k] + 0.001 * slope**2
             a[k] = a[k] - p.rate * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
-    model = Model(a, p)
-    if held.any():
-        logit, t, v = model.logits(x[held]), y[held], weight[held]
-        grid = np.exp(np.linspace(-1.5, 2.5, 81))
-        loss = [-(v * (t * np.log(sigmoid(logit / g) + 1e-12) + (1 - t) * np.log(1 - sigmoid(logit / g) + 1e-12))).sum() for g in grid]
-        a["temperature"] = np.array(grid[int(np.argmin(loss))])
-    else:
-        a["temperature"] = np.array(1.0)
-    return model
+    return np.stack([_joined(a), _joined(first), _joined(second)])
+
+
+def _over(blocks: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """For every block the number of rows that are fitted and what ``work(x, y, held)`` makes of it, in the order of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                label = np.frombuffer(y, np.int8).astype(np.float64)
+                held = np.arange(len(label)) % 5 == 4  # every fifth row is kept for the temperature
+                made = work(np.frombuffer(x, np.float32).reshape(len(label), -1).astype(np.float64), label, held)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([int((~held).sum())], pa.int64()), "made": pa.array([np.asarray(made, np.float64).tobytes()], pa.binary())})
+
+    found = blocks.select("block", "x", "y").mapInArrow(run, "block long, n long, made binary").collect()
+    return [(r.n, np.frombuffer(r.made)) for r in sorted(found, key=lambda r: r.block)]
+
+
+def train(blocks: DataFrame, vectors: np.ndarray, many: bool, p: Params) -> Model:
+    """The network fitted on all blocks (block, x, y), and its temperature."""
+    width = 2 * p.size + 3
+    sums = _over(blocks, lambda x, y, held: x[~held].sum(0))
+    total = sum(n for n, _ in sums)
+    mean = sum(s for _, s in sums) / total
+    spread = sum(s for _, s in _over(blocks, lambda x, y, held: ((x[~held] - mean) ** 2).sum(0)))
+    a = {"vectors": vectors, "mean": mean, "scale": np.sqrt(spread / total) + 1e-3}
+    scale, rng = a["scale"], np.random.default_rng(p.seed)
+    begun = {"w1": rng.normal(0, 1 / math.sqrt(width), (width, p.hidden)), "b1": np.zeros(p.hidden), "w2": rng.normal(0, 1 / math.sqrt(p.hidden), p.hidden), "b2": np.zeros(())}
+    state = np.stack([_joined(begun), np.zeros_like(_joined(begun)), np.zeros_like(_joined(begun))])
+    for epochs in np.array_split(np.arange(1, p.epochs + 1), p.merges if many else 1):
+        span = range(int(epochs[0]), int(epochs[-1]) + 1) if len(epochs) else range(0)
+        made = _over(blocks, lambda x, y, held: epochs_of((x[~held] - mean) / scale, y[~held], state, span, p))
+        state = (sum(n * s for n, s in made) / total).reshape(3, -1)
+    a |= _parted(state[0], p)
+    grid = np.exp(np.linspace(-1.5, 2.5, 81))
+    net = {k: v for k, v in a.items() if k != "vectors"}
+
+    def losses(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> np.ndarray:
+        logit, t = Model(net, p).logits(x[held]), y[held]
+        return np.array([-(t * np.log(sigmoid(logit / g) + 1e-12) + (1 - t) * np.log(1 - sigmoid(logit / g) + 1e-12)).sum() for g in grid])
+
+    loss = sum(s for _, s in _over(blocks, losses))
+    a["temperature"] = np.array(grid[int(np.argmin(loss))] if loss.any() else 1.0)
+    return Model(a, p)
 
 
 def fold(id_col: str) -> F.Column:
@@ -190,32 +262,39 @@ def fold(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
-    """Train in one task on the bounded sample and return the packed model."""
+    """Train on the whole texts of all labelled documents that aren't held out, and return the packed model."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
-    known = known.filter(fold("id") != 0)
-    order = F.xxhash64("id")
-    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for label in (0, 1):
-        part = known.filter(F.col("label") == label).orderBy(order, "id").limit(p.max_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    share = {k: max(1.0, n / p.max_rows) for k, n in totals.items()}
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # at most 2 * max_rows ids, and one text of bounded length for each
-    sample = texts.filter(F.length("text") <= p.max_chars).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    schema = T.StructType([T.StructField("model", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[str, int, float]]:
-            for batch in batches:
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield text or "", label, share[label]
-
-        yield pa.RecordBatch.from_arrays([pa.array([train(rows(), p).pack()], pa.binary())], names=["model"])
-
-    together = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "label")
-    found = together.mapInArrow(run, schema).first()
-    return found.model if found else train(iter(()), p).pack()
+    known = known.filter(fold("id") != 0).withColumn("__key", F.xxhash64("id"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("__key", F.xxhash64("id"))
+    rows = among(texts, "__key", known.select("__key")).drop("__key").join(known.drop("__key"), "id").groupBy("id", "label", "text").agg(F.xxhash64("id", "text").alias("h"))
+
+    def numbers():
+        words = Words(p)
+        return lambda found: [pa.array([words.ids(t).astype(_place(p)).tobytes() for t in found], pa.binary())]
+
+    words = materialise(map_text(rows, numbers, [T.StructField("ids", T.BinaryType())], "text", ["h", "label"]), "words")
+    totals = {r.label: r.n for r in words.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = sum(totals.values())
+    if len(totals) < 2:
+        discard(words)
+        return Model({"share": np.array(float(max(totals)) if totals else 0.5)}, p).pack()
+    vectors, many = word_vectors(words, p), math.ceil(n / p.block_rows)
+    shared, place = docs.sparkSession.sparkContext.broadcast(vectors), _place(p)  # buckets * size floats
+
+    def features():
+        return lambda found: [pa.array([pooled(np.frombuffer(ids, place), shared.value).tobytes() for ids in found], pa.binary())]
+
+    def block(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), ("x", "ascending"), ("label", "ascending")])
+        x, y = b"".join(group.column("x").to_pylist()), np.array(group.column("label").to_pylist(), np.int8).tobytes()
+        return pa.table({"block": group.column("block").slice(0, 1), "x": pa.array([x], pa.binary()), "y": pa.array([y], pa.binary())})
+
+    dealt = map_text(words, features, [T.StructField("x", T.BinaryType())], "ids", ["h", "label"]).withColumn("block", F.pmod("h", F.lit(many)))
+    blocks = materialise(dealt.groupBy("block").applyInArrow(block, "block long, x binary, y binary"), "blocks")
+    discard(words)
+    model = train(blocks, vectors, many > 1, p).pack()
+    discard(blocks)
+    return model
 
 
 def score(docs: DataFrame, model: bytes, p: Params, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -129,6 +129,32 @@ def test_quality_learns_and_scores_all(spark, words):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_every_labelled_text(spark, words):
+    """Long texts are learnt from whole, and rows beyond one block count."""
+    rows = [(i, " ".join(w.upper() + "!!" if i % 4 == 0 else w for w in words(i, 7000 if i % 4 == 0 else 20)), int(i % 4 != 0)) for i in range(120)]
+    assert min(len(r[1]) for r in rows if not r[2]) > 50_000
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, label int").drop("label"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    for p in (quality.Params(), quality.Params(block_rows=20, merges=8)):
+        got = {r.doc_id: r for r in quality.classify(docs, labels, p).collect()}
+        assert np.mean([got[i].predicted == label for i, _, label in rows if got[i].held_out]) > 0.95
+        again = {r.doc_id: r.score for r in quality.classify(docs.repartition(3), labels, p).collect()}
+        assert again == {i: r.score for i, r in got.items()}
+
+
+def test_neighbours_against_plain_loops(spark):
+    p = quality.Params(buckets=97)
+    texts = [list(np.random.default_rng(i).integers(0, 97, n)) for i, n in enumerate((0, 1, 3, 200, 20_003, 45_000))]
+    index = quality.index_vectors(p)
+    want = np.zeros((97, p.size))
+    for ids in texts:
+        for step in range(1, 2 * p.window + 1):
+            np.add.at(want, ids[step:], np.sign(index)[ids[:-step]])
+            np.add.at(want, ids[:-step], np.sign(index)[ids[step:]])
+    rows = spark.createDataFrame([(bytearray(np.array(t, np.uint16).tobytes()),) for t in texts], "ids binary")
+    want = index + want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.abs(quality.word_vectors(rows, p) - want).max() < 1e-6
+
+
 def plain_raking(rows, budget, powers, targets, blend):
     """Probabilities of (source, lang, topic, tokens) by plain loops, for given shares of the targets."""
     total = sum(r[3] for r in rows)
