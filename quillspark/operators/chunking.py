@@ -7,14 +7,16 @@ pass over whole texts; no strategy shuffles. Kernels are registered by name, so
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import spans as S
 from ..functions import structure as B
@@ -274,10 +276,23 @@ def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | Non
     Chunk ids are ``<prefix>_<stem>_<number>``; the prefix is the document id unless given. Blank
     texts and null texts have no chunks.
     """
+    base = _base(docs, prefix)
+    number, plans = _planned(base.columns, strategy, params, provider)
+    return _arrow(base.withColumn("__route", number), plans)
+
+
+Plan = tuple[str, Kernel, dict[str, Any]]
+
+
+def _base(docs: DataFrame, prefix: Column | None = None) -> DataFrame:
+    return docs.withColumn("__prefix", F.col("document_id") if prefix is None else prefix).filter(F.col("text").rlike(r"(?U)\S"))
+
+
+def _planned(columns: list[str], strategy: str, params: dict[str, Any] | None, provider: Provider | None) -> tuple[Column, list[Plan]]:
+    """Label, kernel and parameters that a strategy may use, and the number of those for a row."""
     name = ALIASES.get(strategy, strategy)
-    base = docs.withColumn("__prefix", F.col("document_id") if prefix is None else prefix).filter(F.col("text").rlike(r"(?U)\S"))
     if name == "metadata_aware":
-        return _routed(base, params or {}, provider)
+        return _routed(columns, params or {}, provider)
     params = {**DEFAULT_PARAMS.get(name, {}), **(params or {})}
     check_params(name, params)
     _, found = find(name)
@@ -285,10 +300,10 @@ def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | Non
         if provider is None:
             raise ValueError("the semantic strategy needs an embedding provider")
         params = {**params, "provider": provider}
-    return _arrow(base.withColumn("__route", F.lit(0)), [(name, name, found.kernel, params)])
+    return F.lit(0), [(name, found.kernel, params)]
 
 
-def _routed(base: DataFrame, params: dict[str, Any], provider: Provider | None) -> DataFrame:
+def _routed(columns: list[str], params: dict[str, Any], provider: Provider | None) -> tuple[Column, list[Plan]]:
     rules, fallback = params.get("rules", DEFAULT_RULES), params.get("fallback", DEFAULT_FALLBACK)
     plans = []
     for rule in [*rules, fallback]:
@@ -298,31 +313,39 @@ def _routed(base: DataFrame, params: dict[str, Any], provider: Provider | None)
         _, found = find(inner)
         own = dict(rule.get("params", {}))
         check_params(inner, own)
-        plans.append((f"metadata_aware:{inner}", inner, found.kernel, own | ({"provider": provider} if found.needs_provider else {})))
-    number = route(rules, base.columns)
-    return _arrow(base.withColumn("__route", F.when(number < 0, F.lit(len(rules))).otherwise(number)), plans)
+        plans.append((f"metadata_aware:{inner}", found.kernel, own | ({"provider": provider} if found.needs_provider else {})))
+    number = route(rules, columns)
+    return F.when(number < 0, F.lit(len(rules))).otherwise(number), plans
 
 
-def _arrow(base: DataFrame, plans: list[tuple[str, str, Kernel, dict[str, Any]]]) -> DataFrame:
-    """Run the kernels over whole texts, batch by batch."""
-    columns = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in CHUNK]
+def _rows_of(plan: Plan, document: str, prefix: str, text: str) -> Iterator[tuple]:
+    """The CHUNK rows of one text."""
+    label, kernel, params = plan
+    full = lambda name: f"{prefix}_{name}" if name else None
+    for p in kernel(text, **params):
+        yield document, full(p.name), p.number, p.lead + text[p.start : p.end], p.start, p.end, label, full(p.parent), p.level, p.retrievable, full(p.context), p.path
+
 
-    def rows_of(document: str, prefix: str, text: str, number: int) -> Iterator[tuple]:
-        label, _, kernel, params = plans[number]
-        for p in kernel(text, **params):
-            full = lambda name: f"{prefix}_{name}" if name else None
-            yield document, full(p.name), p.number, p.lead + text[p.start : p.end], p.start, p.end, label, full(p.parent), p.level, p.retrievable, full(p.context), p.path
+#: Chunk rows are handed on in batches of about so many characters.
+BATCH_CHARS = 1_000_000
+
+
+def _arrow(base: DataFrame, plans: list[Plan]) -> DataFrame:
+    """Run the kernels over whole texts, one text at a time: beside the incoming batch a worker holds one text and one outgoing batch."""
+    columns = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in CHUNK]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held += rows_of(*row)
-                size += len(row[2])
-                if size > 4_000_000:
-                    yield _batch(held, columns)
-                    held, size = [], 0
+            for at in range(batch.num_rows):
+                document, prefix, text, number = (batch.column(i)[at].as_py() for i in range(4))
+                for row in _rows_of(plans[number], document, prefix, text):
+                    held.append(row)
+                    size += len(row[3])
+                    if size > BATCH_CHARS:
+                        yield _batch(held, columns)
+                        held, size = [], 0
             if held:
                 yield _batch(held, columns)
 
@@ -330,6 +353,38 @@ def _arrow(base: DataFrame, plans: list[tuple[str, str, Kernel, dict[str, Any]]]
     return spread(rows).mapInArrow(run, CHUNK)
 
 
+class Fold(Protocol):
+    """What a task makes of its documents' chunks."""
+
+    def add(self, label: str, document: str, text: str, pieces: list[Piece]) -> None: ...
+
+    def done(self) -> Iterator[tuple]: ...
+
+
+def fold(docs: DataFrame, specs: dict[str, tuple[str, dict[str, Any]]], make: Callable[[], Fold], schema: T.StructType, provider: Provider | None = None) -> DataFrame:
+    """The rows that each task's ``make()`` returns after it has seen the pieces of every document under every label: strategy and parameters.
+
+    One pass over the documents for all labels, without a shuffle; chunks leave no task.
+    """
+    base = _base(docs)
+    routes = {label: _planned(base.columns, strategy, params, provider) for label, (strategy, params) in specs.items()}
+    plans = [(label, found) for label, (_, found) in routes.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = make()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                document, text, *numbers = (batch.column(i)[at].as_py() for i in range(batch.num_columns))
+                for (label, own), number in zip(plans, numbers, strict=True):
+                    _, kernel, params = own[number]
+                    state.add(label, document, text, kernel(text, **params))
+        if rows := list(state.done()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to_arrow_schema(schema), strict=True)], names=schema.names)
+
+    rows = base.select(F.col("document_id").cast("string"), "text", *[number.alias(f"__route{n}") for n, (number, _) in enumerate(routes.values())])
+    return spread(rows).mapInArrow(run, schema)
+
+
 def spans_frame(rows: DataFrame, cut: Callable[[str], list[S.Span]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n, start, end: the spans that a kernel finds in each text; null texts have none."""
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "start", "end"))])
@@ -374,6 +429,43 @@ def with_context(chunks: DataFrame) -> DataFrame:
     return chunks.filter("retrievable").join(around, "context_id", "left").select(*chunks.columns, "context_text")
 
 
+_STEM = re.compile(r"_([a-z]+)_\d+$")
+_LETTER = re.compile(r"[^\W_]")  # a letter or a digit
+CONTRACT = ("wrong_text", "wrong_number", "uncovered")
+
+
+class _Contract:
+    """Counts, for each label, retrievable chunks that break the contract. A chunk is held against its own document."""
+
+    def __init__(self) -> None:
+        self.found: dict[str, list[int]] = {}
+
+    def add(self, label: str, document: str, text: str, pieces: list[Piece]) -> None:
+        count = self.found.setdefault(label, [0, 0, 0])
+        rows = [r for r in _rows_of((label, lambda _: pieces, {}), document, document, text) if r[9]]
+        count[0] += sum(not 0 <= start <= end or text[start:end] != said for _, _, _, said, start, end, *_ in rows)
+        seen: Counter = Counter()
+        for _, chunk_id, number, *_ in sorted(rows, key=lambda r: (r[4], r[2])):
+            stem = m[1] if (m := _STEM.search(chunk_id)) else ""
+            count[1] += number != seen[stem]
+            seen[stem] += 1
+        reach = 0
+        for start, end in sorted((r[4], r[5]) for r in rows):
+            count[2] += start > reach and _LETTER.search(text, reach, start) is not None
+            reach = max(reach, end)
+
+    def done(self) -> Iterator[tuple]:
+        yield from ((label, *count) for label, count in self.found.items())
+
+
+def contract(docs: DataFrame, plans: dict[str, dict[str, Any]], provider: Provider | None = None) -> DataFrame:
+    """For each strategy: chunks whose offsets don't give their text, numbers out of order, chunks with words in no chunk before them."""
+    schema = T.StructType([T.StructField("strategy", T.StringType()), *(T.StructField(c, T.LongType()) for c in CONTRACT)])
+    counted = fold(docs, {name: (name, params) for name, params in plans.items()}, _Contract, schema, provider)
+    named = docs.sparkSession.createDataFrame([(name, 0, 0, 0) for name in plans], schema)  # without documents nothing is broken
+    return counted.unionByName(named).groupBy("strategy").agg(*[F.sum(c).alias(c) for c in CONTRACT])
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """Counts and sizes of retrievable chunks by strategy."""
     size = F.when(F.col("retrievable"), F.length("text"))

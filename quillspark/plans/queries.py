@@ -23,9 +23,9 @@ from ..operators import retrieval as R
 from ..operators import store as K
 from ..operators.embed import embed, embed_cached
 from ..operators.indexing import duplicates, index, version_history
-from ..session import remove, shared_dir, ship, spread
+from ..operators.nearest import nearest
+from ..session import remove, shared_dir, ship, spread, written
 from ..sources import files as S
-from . import experiment as E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,27 +227,11 @@ def route_strategy(spark, sf_dir):
     return rows.withColumn("rule", C.route(C.DEFAULT_RULES, rows.columns)).select("doc_id", names[F.col("rule")].alias("strategy"), "rule")
 
 
-def _contract(docs: DataFrame, plans: dict[str, dict]) -> DataFrame:
-    """For each strategy: chunks whose offsets don't give their text, numbers out of order, documents with words in no chunk."""
-    total = None
-    for name, params in plans.items():
-        rows = C.chunk(docs, name, params, provider=HashProvider(512)).join(docs.select("document_id", F.col("text").alias("whole")), "document_id")
-        rows = rows.withColumn("good", F.expr("substring(whole, start + 1, `end` - start) = text"))
-        stem = F.regexp_extract("chunk_id", r"_([a-z]+)_\d+$", 1)
-        nth = F.row_number().over(Window.partitionBy("document_id", stem).orderBy("start", "chunk_index")) - 1
-        reach = F.max("end").over(Window.partitionBy("document_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-        checked = rows.filter("retrievable").withColumns({"late": F.col("chunk_index") != nth, "r": F.coalesce(reach, F.lit(0))})
-        gap = F.when(F.col("start") > F.col("r"), F.expr("substring(whole, r + 1, start - r)"))
-        part = checked.agg(F.count_if(~F.col("good")).alias("wrong_text"), F.count_if("late").alias("wrong_number"), F.count_if(gap.rlike(r"[\p{L}\p{N}]")).alias("uncovered")).select(F.lit(name).alias("strategy"), "*")
-        total = part if total is None else total.unionByName(part)
-    return total
-
-
 @query("SELECT s AS strategy, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS wrong_number, CAST(0 AS BIGINT) AS uncovered FROM (SELECT unnest(['fixed', 'hierarchical', 'parent_child', 'recursive', 'sentence', 'sliding_window', 'structure', 'token']) AS s)")
 def chunk_contract_violations(spark, sf_dir):
     """For the eight strategies that need neither a provider nor rules."""
     names = ("fixed", "hierarchical", "parent_child", "recursive", "sentence", "sliding_window", "structure", "token")
-    return _contract(_docs(spark, sf_dir), {n: {"include_section_path": False} if n in ("structure", "hierarchical") else {} for n in names})
+    return C.contract(_docs(spark, sf_dir), {n: {"include_section_path": False} if n in ("structure", "hierarchical") else {} for n in names})
 
 
 @query("SELECT s AS strategy, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS wrong_number, CAST(0 AS BIGINT) AS uncovered FROM (SELECT unnest(['metadata_aware', 'semantic']) AS s)")
@@ -255,7 +239,7 @@ def chunk_contract_violations_provided(spark, sf_dir):
     """For the strategies with a provider or rules."""
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("csv", "json", "markdown", "html", "docx", "txt", "pdf")]), (F.col("doc_id") % 7 + 1).cast("int"))
     rules = [r | ({"params": r.get("params", {}) | {"include_section_path": False}} if r["strategy"] == "structure" else {}) for r in C.DEFAULT_RULES]
-    return _contract(_docs(spark, sf_dir).withColumn("source_type", kinds), {"metadata_aware": {"rules": rules}, "semantic": {}})
+    return C.contract(_docs(spark, sf_dir).withColumn("source_type", kinds), {"metadata_aware": {"rules": rules}, "semantic": {}}, HashProvider(512))
 
 
 @query("WITH c AS (" + _fixed_sql(500, 50) + ") SELECT CAST(count(*) AS BIGINT) AS chunks, round(avg(\"end\" - \"start\"), 6) AS avg_chars, CAST(median(\"end\" - \"start\") AS DOUBLE) AS median_chars, CAST(min(\"end\" - \"start\") AS INT) AS min_chars, CAST(max(\"end\" - \"start\") AS INT) AS max_chars FROM c")
@@ -646,19 +630,11 @@ def _searched(spark, sf_dir) -> DataFrame:
     docs = spread(_docs(spark, sf_dir)).withColumn("source_type", kinds)
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
     asked = embed(items, provider, "passage", name="query").select(F.col("question_id").alias("query_id"), "query")
-    gold = _gold(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id"))).persist()
+    gold, _ = written(_gold(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id"))))
     nowhere = items.join(gold, "question_id", "left_anti").select("question_id", F.lit(1).alias("position"), F.lit("").alias("document_id"), F.lit(0).alias("e_start"), F.lit(1).alias("e_end"))
-    spans = ["label", "question_id", "rank", "chunk_id", "document_id", "start", "end"]
-    ranked = None
-    for name in C.strategies():
-        rows = C.chunk(docs, name, provider=provider).filter("retrievable").select(F.struct(*spans[3:]).alias("at"), "text")
-        found = K.top_k_batch(embed(rows, provider), asked, max(ks), id_col="at")
-        found = found.select(F.lit(name).alias("label"), F.col("query_id").alias("question_id"), "rank", "at.*")
-        ranked = found if ranked is None else ranked.unionByName(found)
-    ranked = ranked.persist()  # a few rows for each item
-    wide = [n for n in C.strategies() if n != "metadata_aware" and C.find(n)[1].provides_context]
-    around = E.delivered(ranked.filter(F.col("label").isin(wide)).select(*spans[:4]), E.chunks_by_label(docs, [E.Spec(n, n) for n in wide], provider), True)
-    given = ranked.filter(~F.col("label").isin(wide)).unionByName(around.select(*spans)).persist()
+    found = nearest(docs, {name: (name, {}) for name in C.strategies()}, asked, provider, max(ks))
+    ranked, _ = written(found.withColumnRenamed("query_id", "question_id"))  # a few rows for each item
+    given = ranked.withColumns({"start": F.col("context_start"), "end": F.col("context_end")})
     return V.question_metrics(ranked, given, gold.unionByName(nowhere, allowMissingColumns=True), ks, ["label"])
 
 

@@ -19,6 +19,7 @@ from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
 from quillspark.operators import store as store_module
 from quillspark.operators.indexing import index, plan, replay
+from quillspark.operators.nearest import nearest
 from quillspark.operators.retrieval import NO_CONTEXT, Answerer, RemoteLLM, Retriever, expand_to_context, generate_all, prompt, prompts
 from quillspark.operators.store import Store, store_name, top_k, top_k_batch
 from quillspark.plans import experiment
@@ -293,6 +294,26 @@ def test_searched_metrics_rank_all_chunks(spark, tmp_path):
                 assert got[name, item, k] == pytest.approx(want, abs=2e-6), (name, item, k)
 
 
+def test_search_ranks_where_chunks_are_made(spark):
+    """One pass over the documents for all strategies, no vector leaves it, and the ranking is that of all vectors, ties among them."""
+    rng = np.random.default_rng(8)
+    texts = ["# Top\n\n" + " ".join(rng.choice(["cat", "dog", "fish", "owl", "Σας"[: 3 * (i % 4 == 0)] or "hen"], 150)) + "." for i in range(12)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate([*texts, texts[1], texts[1]])], "document_id string, text string")
+    queries = spark.createDataFrame([(i, HashProvider(32).embed(q).tolist()) for i, q in enumerate(["cat", "owl hen", "top fish", "none"])], "query_id long, query array<float>")
+    specs = {n: (n, {"min_chars": 0} if n == "semantic" else {}) for n in ("fixed", "structure", "parent_child", "semantic")}
+    for parts, size in ((1, 10), (4, 3)):
+        found = nearest(docs.repartition(parts), specs, queries, HashProvider(32), 4, size)
+        got = {(r.label, r.query_id, r["rank"]): (r.chunk_id, r.context_end - r.context_start) for r in found.collect()}
+        for name, (_, params) in specs.items():
+            chunks = C.chunk(docs, name, params, provider=HashProvider(32))
+            length = {r.chunk_id: r.end - r.start for r in chunks.collect()}
+            around = {r.chunk_id: r.context_id or r.chunk_id for r in chunks.collect()}
+            want = top_k_batch(embed(chunks.filter("retrievable"), HashProvider(32)), queries, 4).collect()
+            assert {k[1:]: v for k, v in got.items() if k[0] == name} == {(r.query_id, r["rank"]): (r.chunk_id, length[around[r.chunk_id]]) for r in want}
+    plan = nearest(docs, specs, queries, HashProvider(32), 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "embedding" not in plan
+
+
 def test_experiment(spark, tmp_path):
     corpus = tmp_path / "corpus"
     corpus.mkdir()

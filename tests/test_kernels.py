@@ -8,7 +8,7 @@ import pytest
 from quillspark.functions import semantic as M
 from quillspark.functions import spans as S
 from quillspark.functions import structure as B
-from quillspark.functions.embedding import HashProvider, KeywordProvider, RemoteProvider, check_vectors, cosine_similarity
+from quillspark.functions.embedding import HashProvider, KeywordProvider, RemoteProvider, Words, check_vectors, cosine_similarity
 from quillspark.functions.tokens import WordPieces, budget, token_spans
 from quillspark.operators import chunking as C
 
@@ -161,3 +161,14 @@ def test_parameters_are_refused():
     with pytest.raises(ValueError, match="unknown chunking strategy"):
         C.find("nope")
     assert C.find("markdown")[0] == "structure"
+
+
+def test_spans_are_embedded_like_their_texts():
+    """Words that a span's ends cut, letters whose lower case is longer or depends on their place, blank and empty spans."""
+    rng, provider = np.random.default_rng(2), HashProvider(64)
+    for n in range(400):
+        text = "".join(rng.choice(list("ab C,.D\u00e9_1 \n-\u01c4\u00df\u4e2d\U0001d518" + "\u0130\u03a3" * (n % 4 == 0)), int(rng.integers(0, 40))))
+        spans = [tuple(sorted(rng.integers(0, len(text) + 1, 2).tolist())) for _ in range(6)]
+        leads = ["", "A > b\n", "", "c\n", "A > b\n", ""]
+        want = provider.embed_batch([lead + text[a:b] for lead, (a, b) in zip(leads, spans, strict=True)])
+        assert (provider.embed_spans(Words(text), spans, leads) == want).all(), (text, spans)
