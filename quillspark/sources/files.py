@@ -79,7 +79,13 @@ def canonical_mime(kind: Column) -> Column:
 
 def size_error(name: Column, length: Column, limit: int = MAX_BYTES) -> Column:
     """Why a file of this size isn't read, or null."""
-    mb = lambda n: F.format_string("%.1f", n / F.lit(float(_MB)))
+    def mb(n: Column) -> Column:
+        """With one digit as C prints it: halves go to the even digit. Tenths are counted in whole numbers, so none is rounded twice."""
+        n = n.cast("decimal(20,0)") * 10
+        whole, rest = F.floor(n / _MB).cast("long"), (n % _MB).cast("long")
+        tenths = whole + F.when((rest * 2 > _MB) | ((rest * 2 == _MB) & (whole % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
     return F.when(length == 0, F.concat(name, F.lit(" is empty."))).when(length > limit, F.concat(name, F.lit(" is "), mb(length), F.lit(" MB; the limit is "), mb(F.lit(limit)), F.lit(" MB.")))
 
 

@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.sources import files
 from quillspark.sources import parsers as P
@@ -138,3 +139,10 @@ def test_questions(spark, tmp_path):
     path.write_text(json.dumps({"questions": [{"id": "q1", "question": "?", "document": "a", "evidence": ["x"]}] * 2}))
     with pytest.raises(ValueError, match="twice"):
         load_questions(spark, str(path))
+
+
+def test_sizes_are_printed_as_c_prints_them(spark):
+    """31.25 MB is 31.2 and 31.75 MB is 31.8: halves of a tenth go to the even digit."""
+    sizes = [0, 1, 5_000_001, 8192 * 4000, 8323 * 4000, *(round(m * 1_048_576) for m in (4.9499, 6.25, 6.75, 9.95, 9.96875, 99.984375, 123456.75))]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", files.size_error(F.lit("f"), F.col("n"), 5_000_000).alias("e")).collect()
+    assert {r.n: r.e for r in rows} == {n: "f is empty." if n == 0 else f"f is {n / 1_048_576:.1f} MB; the limit is 4.8 MB." if n > 5_000_000 else None for n in sizes}
