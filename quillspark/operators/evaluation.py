@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import in_blocks, spread
 
@@ -37,17 +38,24 @@ def locate_anywhere(passages: DataFrame, documents: DataFrame, limit: int = 10_0
     """
     asked = passages.select("question_id", "passage").filter(F.length("passage") > 0)
     schema = T.StructType([T.StructField("question_id", passages.schema["question_id"].dataType), T.StructField("document_id", T.StringType()), T.StructField("e_start", T.IntegerType()), T.StructField("e_end", T.IntegerType())])
-    texts = spread(documents.select(F.col("document_id").cast("string"), "text"))
+    texts, arrow = spread(documents.select(F.col("document_id").cast("string"), "text")), to_arrow_schema(schema)
 
     def finder(held: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         shared = documents.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=schema.names)
             for batch in batches:
-                found = [(q, d, at, at + len(p)) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, p in shared.value if (at := (text or "").find(p)) >= 0]
+                found = []
+                for i in range(batch.num_rows):  # one text at a time
+                    text = batch.column(1)[i].as_py() or ""
+                    at_hand = batch.column(0)[i].as_py()
+                    found += [(q, at_hand, at, at + len(p)) for q, p in shared.value if (at := text.find(p)) >= 0]
+                    if len(found) >= 10_000:
+                        yield batch_of(found)
+                        found = []
                 if found:
-                    columns = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i < 2 else pa.array(c, pa.int32()) for i, c in enumerate(columns)], names=schema.names)
+                    yield batch_of(found)
 
         return run
 
@@ -56,6 +64,19 @@ def locate_anywhere(passages: DataFrame, documents: DataFrame, limit: int = 10_0
     return rows.select("question_id", F.lit(0).alias("position"), "document_id", "e_start", "e_end")
 
 
+def holding(documents: DataFrame, evidence: DataFrame, slots: int = 1 << 19) -> DataFrame:
+    """The documents that hold a passage: others have no chunk that shares characters with one, so they needn't be cut.
+
+    A bitmap of at most ``slots`` 64-bit slots goes out by broadcast, so of the other documents hardly any is shuffled; the join
+    after it is exact. ``evidence`` is read twice, so it should be a table.
+    """
+    place = F.pmod(F.xxhash64("document_id"), F.lit(slots * 64))
+    ids = evidence.select("document_id").distinct()
+    bits = ids.select(place.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__slot")).agg(F.expr("bit_or(shiftleft(1L, cast(__h & 63 as int)))").alias("__bits"))
+    marked = documents.withColumn("__h", place).withColumn("__slot", F.shiftright("__h", 6)).join(F.broadcast(bits), "__slot")
+    return marked.filter("bit_get(__bits, cast(__h & 63 as int)) = 1").join(ids, "document_id", "left_semi").select(documents.columns)
+
+
 def overlaps(spans: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
     """Spans joined to the passages they share characters with, and how many."""
     keys = [k for k in (*by, "document_id") if k in evidence.columns]

@@ -519,6 +519,12 @@ def _gold(spark, sf_dir) -> DataFrame:
     return V.locate_anywhere(items, _docs(spark, sf_dir))
 
 
+def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The passages as a table, so that they are located once, and the documents that hold any."""
+    gold, _ = written(_gold(spark, sf_dir))
+    return gold, V.holding(_docs(spark, sf_dir), gold)
+
+
 _GOLD = "g AS (SELECT b.item_id AS question_id, CAST(d.doc_id AS VARCHAR) AS document_id, instr(d.text, b.text) - 1 AS e_start, instr(d.text, b.text) - 1 + length(b.text) AS e_end FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0)"
 _CH = "c AS (SELECT CAST(regexp_extract(chunk_id, '^(.*)_chunk_', 1) AS VARCHAR) AS document_id, chunk_id, \"start\" AS s, \"end\" AS e FROM (" + _fixed_sql(500, 50) + "))"
 _OV = f"{_GOLD}, {_CH}, o AS (SELECT g.question_id, g.document_id, c.chunk_id, c.s, c.e, g.e_start, g.e_end, least(c.e, g.e_end) - greatest(c.s, g.e_start) AS shared FROM g JOIN c ON c.document_id = g.document_id AND c.s < g.e_end AND g.e_start < c.e)"
@@ -531,36 +537,38 @@ def evidence_locations(spark, sf_dir):
 
 @query(f"WITH {_OV} SELECT question_id, document_id, chunk_id, CAST(shared AS INT) AS shared, shared >= 0.5 * (e_end - e_start) OR shared >= 0.5 * (e - s) AS relevant FROM o")
 def evidence_overlap(spark, sf_dir):
-    chunks = C.chunk(_docs(spark, sf_dir), "fixed").select("document_id", "chunk_id", "start", "end")
-    return V.overlaps(chunks, _gold(spark, sf_dir), []).select("question_id", "document_id", "chunk_id", F.col("shared").cast("int").alias("shared"), V.relevant().alias("relevant"))
+    gold, docs = _evidence(spark, sf_dir)
+    chunks = C.chunk(docs, "fixed").select("document_id", "chunk_id", "start", "end")
+    return V.overlaps(chunks, gold, []).select("question_id", "document_id", "chunk_id", F.col("shared").cast("int").alias("shared"), V.relevant().alias("relevant"))
 
 
 @query(f"WITH {_OV} SELECT question_id, document_id, CAST(max(e_end - e_start) AS BIGINT) AS covered FROM o GROUP BY ALL")
 def evidence_coverage(spark, sf_dir):
     """Overlapping chunks together cover every passage once."""
-    gold = _gold(spark, sf_dir)
-    chunks = C.chunk(_docs(spark, sf_dir), "fixed").select("document_id", "start", "end")
+    gold, docs = _evidence(spark, sf_dir)
+    chunks = C.chunk(docs, "fixed").select("document_id", "start", "end")
     spans = chunks.join(gold.select("question_id", "document_id").distinct(), "document_id").withColumn("doc", F.col("document_id"))
     return V.covered(spans, gold.withColumn("doc", F.col("document_id")), ["question_id", "doc"]).select("question_id", F.col("doc").alias("document_id"), F.col("covered").cast("long").alias("covered"))
 
 
 @query(f"WITH {_OV} SELECT question_id, chunk_id, s <= e_start AND e_end <= e AS whole FROM o")
 def case_study_holders(spark, sf_dir):
-    chunks = C.chunk(_docs(spark, sf_dir), "fixed").select("document_id", "chunk_id", "start", "end", "retrievable")
+    gold, docs = _evidence(spark, sf_dir)
+    chunks = C.chunk(docs, "fixed").select("document_id", "chunk_id", "start", "end", "retrievable")
     nothing = chunks.select(F.lit(-1).cast("long").alias("question_id"), "chunk_id", F.lit(1).alias("rank")).filter("false")
-    return V.holders(chunks, _gold(spark, sf_dir), nothing).select("question_id", "chunk_id", "whole")
+    return V.holders(chunks, gold, nothing).select("question_id", "chunk_id", "whole")
 
 
-def _rankings(spark, sf_dir, strategies: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """A stated ranking of the chunks of documents that hold a passage: by hash, the same in every engine."""
-    gold = _gold(spark, sf_dir)
+def _rankings(spark, sf_dir, strategies: tuple[str, ...], k: int) -> tuple[DataFrame, DataFrame]:
+    """The first k of a stated ranking of the chunks of documents that hold a passage: by hash, the same in every engine. Both are tables."""
+    gold, docs = _evidence(spark, sf_dir)
     every = None
     for name in strategies:
-        chunks = C.chunk(_docs(spark, sf_dir), name).select(F.lit(name).alias("label"), "document_id", "chunk_id", "start", "end")
+        chunks = C.chunk(docs, name).select(F.lit(name).alias("label"), "document_id", "chunk_id", "start", "end")
         every = chunks if every is None else every.unionByName(chunks)
     rows = every.join(gold.select("question_id", "document_id").distinct(), "document_id")
     order = Window.partitionBy("label", "question_id").orderBy(F.md5(F.concat("chunk_id", F.col("question_id").cast("string")).cast("binary")), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)), gold
+    return written(rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))[0], gold
 
 
 _SL = "l AS (SELECT CAST(regexp_extract(chunk_id, '^(.*)_chunk_', 1) AS VARCHAR) AS document_id, chunk_id, \"start\" AS s, \"end\" AS e FROM (WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS key, text FROM documents WHERE trim(text) <> ''), " + _WINDOWS + "))"
@@ -578,9 +586,10 @@ _SHOWN = ("precision", "hit", "reciprocal_rank")
 
 def _measured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The metrics of two strategies under the stated ranking, and the passages."""
-    ranked, gold = _rankings(spark, sf_dir, ("fixed", "sliding_window"))
+    ks = [1, 3, 5]
+    ranked, gold = _rankings(spark, sf_dir, ("fixed", "sliding_window"), max(ks))
     gold = gold.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id")))
-    return V.question_metrics(ranked, ranked, gold, [1, 3, 5], ["label"]), gold
+    return V.question_metrics(ranked, ranked, gold, ks, ["label"]), gold
 
 
 @query(f"WITH {_RANKED} SELECT label, question_id, k, round(precision, 6) AS precision, round(hit, 6) AS hit, round(reciprocal_rank, 6) AS reciprocal_rank FROM m")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +296,31 @@ def test_searched_metrics_rank_all_chunks(spark, tmp_path):
                 assert got[name, item, k] == pytest.approx(want, abs=2e-6), (name, item, k)
 
 
+def _tables(spark, path, texts, items):
+    """documents.parquet and benchmark.parquet in a folder."""
+    spark.createDataFrame([(i, t, "en", f"f{n}") for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["question_metrics", "metrics_by_strategy", "metrics_by_document", "best_by_document", "best_by_k"])
+def test_passages_are_located_and_ranked_once(spark, tmp_path, monkeypatch, name):
+    """What follows reads small tables, and only documents with a passage are cut."""
+    texts = [(n, f"text {n} " * 90 + ("the passage held " * 3 if n % 7 == 0 else "")) for n in range(30)]
+    cut, chunk = [], C.chunk
+    monkeypatch.setattr(C, "chunk", lambda docs, *a, **b: cut.append(docs.count()) or chunk(docs, *a, **b))
+    found = __spark_entry__.queries()[name](spark, _tables(spark, tmp_path, texts, ["the passage held", "nowhere"]))
+    assert cut == [5, 5] and found.count() > 0
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_that_hold_a_passage(spark):
+    docs = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4"), ("c", "5")], "document_id string, text string")
+    gold = spark.createDataFrame([(1, "a"), (2, "a"), (1, "c"), (3, None)], "question_id int, document_id string")
+    for slots in (1, 1 << 19):  # the bitmap lets others through when it is full; the join doesn't
+        assert sorted(r.text for r in V.holding(docs, gold, slots).collect()) == ["1", "2", "5"]
+
+
 def test_search_ranks_where_chunks_are_made(spark):
     """One pass over the documents for all strategies, no vector leaves it, and the ranking is that of all vectors, ties among them."""
     rng = np.random.default_rng(8)
