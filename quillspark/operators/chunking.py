@@ -331,26 +331,27 @@ BATCH_CHARS = 1_000_000
 
 
 def _arrow(base: DataFrame, plans: list[Plan]) -> DataFrame:
-    """Run the kernels over whole texts, one text at a time: beside the incoming batch a worker holds one text and one outgoing batch."""
-    columns = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in CHUNK]
+    """Run the kernels over whole texts."""
+    rows = base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route")
+    return spread(rows).mapInArrow(lambda batches: cut(batches, plans), CHUNK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for at in range(batch.num_rows):
-                document, prefix, text, number = (batch.column(i)[at].as_py() for i in range(4))
-                for row in _rows_of(plans[number], document, prefix, text):
-                    held.append(row)
-                    size += len(row[3])
-                    if size > BATCH_CHARS:
-                        yield _batch(held, columns)
-                        held, size = [], 0
-            if held:
-                yield _batch(held, columns)
 
-    rows = base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route")
-    return spread(rows).mapInArrow(run, CHUNK)
+def cut(batches: Iterator[pa.RecordBatch], plans: list[Plan]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows, one text at a time: beside the incoming batch a worker holds one text and one outgoing batch, whatever comes in."""
+    columns = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in CHUNK]
+    for batch in batches:
+        held: list[tuple] = []
+        size = 0
+        for at in range(batch.num_rows):
+            document, prefix, text, number = (batch.column(i)[at].as_py() for i in range(4))
+            for row in _rows_of(plans[number], document, prefix, text):
+                held.append(row)
+                size += len(row[3])
+                if size > BATCH_CHARS:
+                    yield _batch(held, columns)
+                    held, size = [], 0
+        if held:
+            yield _batch(held, columns)
 
 
 class Fold(Protocol):

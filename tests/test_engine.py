@@ -321,6 +321,21 @@ def test_documents_that_hold_a_passage(spark):
         assert sorted(r.text for r in V.holding(docs, gold, slots).collect()) == ["1", "2", "5"]
 
 
+def test_a_worker_holds_one_text_and_one_batch(monkeypatch):
+    """Chunk rows leave in batches of bounded size while a batch of texts is still being read."""
+    monkeypatch.setattr(C, "BATCH_CHARS", 10_000)
+    texts = ["line of words\n" * n for n in (3, 4_000, 10, 3_000)]
+    read = []
+    plans = [("recursive", lambda text, **p: read.append(len(text)) or C.recursive(text, **p), {"chunk_size": 500, "separators": ["line", "word"]})]
+    batch = pa.RecordBatch.from_pylist([{"document_id": f"d{n}", "prefix": f"d{n}", "text": t, "route": 0} for n, t in enumerate(texts)])
+    sizes, before = [], []
+    for out in C.cut(iter([batch]), plans):
+        sizes.append(sum(map(len, out.column(3).to_pylist())))
+        before.append(len(read))
+    assert max(sizes) <= 10_500 and before[0] == 2 and len(read) == 4
+    assert sum(sizes) == sum(p.end - p.start for t in texts for p in C.recursive(t, separators=["line", "word"]))
+
+
 def test_search_ranks_where_chunks_are_made(spark):
     """One pass over the documents for all strategies, no vector leaves it, and the ranking is that of all vectors, ties among them."""
     rng = np.random.default_rng(8)
