@@ -76,3 +76,10 @@ def hash_bucket(word: Column, size: int) -> Column:
 def hash_buckets(text: Column, size: int) -> Column:
     """The bucket of every word of the text."""
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1)), lambda w: hash_bucket(w, size))
+
+
+def run_lengths(ordered: Column) -> Column:
+    """value and n of each run of equal values of a sorted array; null for an empty one."""
+    first = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1) != x), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), F.array(F.size(ordered)))
+    return F.when(F.size(ordered) > 0, F.zip_with(first, ends, lambda a, z: F.struct(F.get(ordered, a).alias("value"), (z - a).cast("long").alias("n"))))

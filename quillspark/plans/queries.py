@@ -282,8 +282,21 @@ def semantic_groups(spark, sf_dir):
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), b AS (SELECT doc_id, md5(w) AS h FROM w), c AS (SELECT doc_id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 512 AS INT) AS bucket FROM b) SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) + CASE WHEN bucket = 0 THEN 0.001 ELSE 0 END AS value FROM c GROUP BY doc_id, bucket")
 def hash_embedding(spark, sf_dir):
     """The hashing embedding's components that words fill, for every document."""
-    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.hash_buckets(F.col("text"), 512)).alias("bucket"))
-    return rows.groupBy("doc_id", "bucket").agg(F.count("*").alias("n")).select("doc_id", "bucket", (F.col("n").cast("double") + F.when(F.col("bucket") == 0, 0.001).otherwise(0.0)).alias("value"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    again, _ = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        counted = _word_counts(docs)
+    else:  # only texts of repeated ids are put together
+        alike = docs["doc_id"].eqNullSafe(again["doc_id"])
+        counted = _word_counts(docs.join(again, alike, "left_anti"))
+        counted = counted.unionByName(_word_counts(docs.join(again, alike, "left_semi")).groupBy("doc_id", "bucket").agg(F.sum("n").alias("n")))
+    return counted.select("doc_id", "bucket", (F.col("n").cast("double") + F.when(F.col("bucket") == 0, 0.001).otherwise(0.0)).alias("value"))
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, bucket, n of each text: its sorted buckets are counted inside the row."""
+    runs = spread(docs).select("doc_id", F.sort_array(X.hash_buckets(F.col("text"), 512)).alias("b"))
+    return runs.select("doc_id", F.explode(X.run_lengths(F.col("b"))).alias("r")).select("doc_id", F.col("r.value").alias("bucket"), F.col("r.n").alias("n"))
 
 
 @query("SELECT count(DISTINCT text) AS misses, count(*) - count(DISTINCT text) AS hits FROM documents")

@@ -303,6 +303,17 @@ def _tables(spark, path, texts, items):
     return str(path)
 
 
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4, 5), (1, 1, None, None, 2)])
+def test_words_are_counted_inside_the_row(spark, tmp_path, ids):
+    """Repeated and null ids are put together as in SQL; without them nothing is aggregated by id and bucket."""
+    texts = ["b a b", "a c!", "x", " x y ", "..."]
+    found = __spark_entry__.queries()["hash_embedding"](spark, _tables(spark, tmp_path, zip(ids, texts, strict=True), []))
+    want = Counter((i, int(HashProvider(512).embed(w)[1:].argmax()) + 1) for i, t in zip(ids, texts, strict=True) for w in t.replace("!", "").split() if w != "...")
+    assert {(r.doc_id, r.bucket): r.value for r in found.collect()} == {k: float(n) for k, n in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Aggregate" in plan) == (len({*ids}) < len(ids))
+
+
 @pytest.mark.parametrize("name", ["question_metrics", "metrics_by_strategy", "metrics_by_document", "best_by_document", "best_by_k"])
 def test_passages_are_located_and_ranked_once(spark, tmp_path, monkeypatch, name):
     """What follows reads small tables, and only documents with a passage are cut."""
