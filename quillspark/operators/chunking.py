@@ -34,6 +34,9 @@ CHUNK = T.StructType([
     )
 ])
 
+CONTEXT = T.StructField("context_text", T.StringType())
+_FIELDS = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in (*CHUNK, CONTEXT)]
+
 #: Parameters of each strategy as they are configured by default; kernels have defaults of their own.
 DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
     "fixed": {"chunk_size": 500, "overlap": 50},
@@ -270,15 +273,18 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | None = None, prefix: Column | None = None, provider: Provider | None = None) -> DataFrame:
+def chunk(docs: DataFrame, strategy: str = "fixed", params: dict[str, Any] | None = None, prefix: Column | None = None, provider: Provider | None = None, carry: list[str] | None = None, context: bool = False) -> DataFrame:
     """Chunk rows of documents (document_id, text, ...).
 
+    ``carry`` names columns of the documents that every chunk gets. With ``context`` only retrievable chunks are returned, with the
+    text of their context, which is of the same document.
+
     Chunk ids are ``<prefix>_<stem>_<number>``; the prefix is the document id unless given. Blank
     texts and null texts have no chunks.
     """
     base = _base(docs, prefix)
     number, plans = _planned(base.columns, strategy, params, provider)
-    return _arrow(base.withColumn("__route", number), plans)
+    return _arrow(base.withColumn("__route", number), plans, carry or [], context)
 
 
 Plan = tuple[str, Kernel, dict[str, Any]]
@@ -330,28 +336,44 @@ def _rows_of(plan: Plan, document: str, prefix: str, text: str) -> Iterator[tupl
 BATCH_CHARS = 1_000_000
 
 
-def _arrow(base: DataFrame, plans: list[Plan]) -> DataFrame:
+def _arrow(base: DataFrame, plans: list[Plan], carry: list[str], context: bool) -> DataFrame:
     """Run the kernels over whole texts."""
-    rows = base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route")
-    return spread(rows).mapInArrow(lambda batches: cut(batches, plans), CHUNK)
+    rows = base.select(F.col("document_id").cast("string"), F.col("__prefix").cast("string"), "text", "__route", *carry)
+    schema = T.StructType([*CHUNK, *[CONTEXT] * context, *(rows.schema[c] for c in carry)])
+    return spread(rows).mapInArrow(lambda batches: cut(batches, plans, context), schema)
 
 
-def cut(batches: Iterator[pa.RecordBatch], plans: list[Plan]) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], plans: list[Plan], context: bool = False) -> Iterator[pa.RecordBatch]:
     """Chunk rows, one text at a time: beside the incoming batch a worker holds one text and one outgoing batch, whatever comes in."""
-    columns = [pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in CHUNK]
     for batch in batches:
         held: list[tuple] = []
+        of: list[int] = []  # the documents of the held rows
         size = 0
+
+        def made() -> pa.RecordBatch:
+            own = _batch(held, _FIELDS[: len(held[0])])
+            carried = batch.columns[4:]
+            return pa.RecordBatch.from_arrays([*own.columns, *(c.take(pa.array(of)) for c in carried)], names=[*own.schema.names, *batch.schema.names[4:]])
+
         for at in range(batch.num_rows):
             document, prefix, text, number = (batch.column(i)[at].as_py() for i in range(4))
-            for row in _rows_of(plans[number], document, prefix, text):
+            rows = _rows_of(plans[number], document, prefix, text)
+            for row in _in_context(rows) if context else rows:
                 held.append(row)
-                size += len(row[3])
+                of.append(at)
+                size += len(row[3]) + len((row[12] or "") if context else "")
                 if size > BATCH_CHARS:
-                    yield _batch(held, columns)
-                    held, size = [], 0
+                    yield made()
+                    held, of, size = [], [], 0
         if held:
-            yield _batch(held, columns)
+            yield made()
+
+
+def _in_context(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Retrievable rows of one document with the text of their context."""
+    every = list(rows)
+    around = {r[1]: r[3] for r in every}
+    yield from ((*r, around.get(r[10])) for r in every if r[9])
 
 
 class Fold(Protocol):

@@ -8,17 +8,19 @@ writing are set operations on the outcome.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions.embedding import Provider
 from ..session import remove, written
-from .chunking import chunk, with_context
+from .chunking import chunk
 from .embed import embed, embed_cached
 from .store import Store
 
@@ -102,21 +104,35 @@ def plan(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
     known = known.filter("tenant_id IS NOT NULL").unionByName(known.filter("tenant_id IS NULL").drop("tenant_id").crossJoin(tenants))  # few: rows from before tenants existed
     lines = known.withColumn("seq", F.lit(-1).cast("long")).unionByName(arrivals.select("tenant_id", "seq", "filename", "document_id").withColumns({"version": F.lit(0), "previous_version": F.lit(None).cast("string")}))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["seq", "filename", "document_id"])
-        old, new = frame[frame.seq < 0], frame[frame.seq >= 0]
-        rows = replay(list(old[["filename", "document_id", "version", "previous_version"]].itertuples(index=False, name=None)), list(new[["seq", "filename", "document_id"]].itertuples(index=False, name=None)))
-        made = pd.DataFrame(rows, columns=PLAN.names[1:]).astype({"version": "Int32"})
-        made.insert(0, "tenant_id", frame.tenant_id.iloc[0])
-        return made
-
     named = lines.withColumn("__name", F.coalesce("filename", F.lit("\u0000")))
     groups, path = _entangled(named)
-    done, _ = written(named.join(groups, ["tenant_id", "__name"]).groupBy("tenant_id", "__group").applyInPandas(one, PLAN))
+    last = lambda name: F.col(name).asc_nulls_last()
+    ordered = named.join(groups, ["tenant_id", "__name"]).repartition("tenant_id", "__group").sortWithinPartitions("tenant_id", "__group", "seq", last("filename"), last("document_id"))
+    done, _ = written(ordered.select("tenant_id", "__group", "seq", "filename", "document_id", "version", "previous_version").mapInArrow(replayed, PLAN))
     remove(stored.sparkSession, path)
     return done
 
 
+def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PLAN rows of manifest rows that come group by group, each in order; most groups are one row, so they leave many at a time."""
+    arrow = to_arrow_schema(PLAN)
+    lines = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    out: list[tuple] = []
+    for (tenant, _), group in groupby(lines, key=lambda r: r[:2]):
+        stored, arrivals = [], []
+        for _, _, seq, name, document, version, previous in group:
+            if seq < 0:
+                stored.append((name, document, version, previous))
+            else:
+                arrivals.append((seq, name, document))
+        out += [(tenant, *row) for row in replay(stored, arrivals)]
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+
 def _entangled(lines: DataFrame) -> tuple[DataFrame, str]:
     """A table of tenant_id, __name, __group, and its path: names are of one group if they share a document, directly or through others.
 
@@ -145,35 +161,35 @@ def version_history(arrivals: DataFrame) -> DataFrame:
     return changed.select("tenant_id", "filename", "seq", "file_key", F.row_number().over(order).alias("version"), F.lag("file_key").over(order).alias("previous_version"))
 
 
-def _arriving(documents: DataFrame) -> DataFrame:
-    """Documents with tenant and order of arrival; the order needs one pass over names only."""
+def _arriving(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their tenant, and a table of tenant_id, source, document_id, filename, seq: their order of arrival."""
     named = documents.withColumn("tenant_id", X.tenant(F.col("tenant_id")))
     order = Window.partitionBy("tenant_id").orderBy("source", F.regexp_extract("document_id", r"-(\d+)$", 1).cast("int"))
-    seq = named.select("tenant_id", "source", "document_id").withColumn("seq", F.row_number().over(order).cast("long"))
-    return named.join(seq, ["tenant_id", "source", "document_id"])
+    return named, written(named.select("tenant_id", "source", "document_id", "filename").withColumn("seq", F.row_number().over(order).cast("long")))[0]
 
 
 def index(store: Store, documents: DataFrame, provider: Provider, strategy: str = "fixed", params: dict[str, Any] | None = None, cache: str | None = None) -> DataFrame:
     """Bring a store up to date with documents in one commit; returns the plan that was carried out.
 
-    With ``cache``, a folder, texts that were embedded before aren't sent again.
+    With ``cache``, a folder, texts that were embedded before aren't sent again. Texts meet their plan in one join; chunks carry what
+    describes their document and the text of their context.
     """
     old = store.rows()
-    arriving = _arriving(documents)
-    done = plan(old, arriving)
-    fresh = arriving.join(done.filter("action = 'index' AND live").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"])
-    prefix = F.concat("tenant_id", F.lit(":"), "document_id")
-    keyed = fresh.withColumn("doc_key", prefix)
-    pieces = with_context(chunk(keyed.withColumn("document_id", F.col("doc_key")), strategy, params, provider=provider))
-    bookkeeping = pieces.select(
-        F.col("document_id").alias("doc_key"), "chunk_id", "text", F.col("strategy").alias("chunk_strategy"), F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"), F.col("level").alias("chunk_level"), "parent_id", "context_id", "context_text", "section_path",
+    named, order = _arriving(documents)
+    done = plan(old, order)
+    doing = lambda test: named.join(order.join(done.filter(test).select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"]).drop("seq", "filename"), ["tenant_id", "source", "document_id"])
+    about = ["document_id", "tenant_id", "filename", "version", "previous_version", *[c for c in DOCUMENT_FIELDS if c in documents.columns]]
+    keyed = doing("action = 'index' AND live").select(F.concat("tenant_id", F.lit(":"), "document_id").alias("doc_key"), *about, *[c for c in documents.columns if c not in about])
+    told = keyed.withColumns({f"__{c}": F.col(c) for c in about}).withColumn("document_id", F.col("doc_key"))
+    pieces = chunk(told, strategy, params, provider=provider, carry=[f"__{c}" for c in about], context=True)
+    pieces = pieces.select(
+        "chunk_id", "text", F.col("strategy").alias("chunk_strategy"), F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"), F.col("level").alias("chunk_level"), "parent_id", "context_id", "context_text", "section_path",
+        *[F.col(f"__{c}").alias(c) for c in about],
     )
-    about = keyed.select("doc_key", "document_id", "tenant_id", "filename", "version", "previous_version", *[c for c in DOCUMENT_FIELDS if c in documents.columns])
-    pieces = bookkeeping.join(about, "doc_key").drop("doc_key")
     added = embed_cached(pieces, provider, cache)[0] if cache else embed(pieces, provider)
     gone = done.filter("action = 'retire'").select("tenant_id", "filename", "document_id").distinct()
     match = (F.coalesce(old["tenant_id"], gone["tenant_id"]) == gone["tenant_id"]) & (old["filename"] == gone["filename"]) & (old["document_id"] == gone["document_id"])
-    again = arriving.join(done.filter("action = 'refresh'").select("tenant_id", "seq", "version", "previous_version"), ["tenant_id", "seq"])
+    again = doing("action = 'refresh'")
     changed = refreshed(old.join(gone, match, "left_anti"), again).filter("__changed").drop("__changed")
     dropped = old.join(gone, match, "left_semi").select("chunk_id").unionByName(changed.select("chunk_id"))
     new = not done.filter("action = 'index' AND live").isEmpty()

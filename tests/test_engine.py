@@ -20,7 +20,7 @@ from quillspark.operators import chunking as C
 from quillspark.operators import evaluation as V
 from quillspark.operators.embed import embed, embed_cached
 from quillspark.operators import store as store_module
-from quillspark.operators.indexing import index, plan, replay
+from quillspark.operators.indexing import index, plan, replay, replayed
 from quillspark.operators.nearest import nearest
 from quillspark.operators.retrieval import NO_CONTEXT, Answerer, RemoteLLM, Retriever, expand_to_context, generate_all, prompt, prompts
 from quillspark.operators.store import Store, store_name, top_k, top_k_batch
@@ -136,6 +136,31 @@ def test_index_versions_refresh_and_duplicates(spark, tmp_path):
     assert rows["default", "a.txt"].chunk_id.startswith("default:")
 
 
+def test_groups_are_replayed_as_they_come():
+    """Many small groups and one that lies in several batches: each is replayed alone and in order."""
+    arrivals = [("t", f"n{n}", n, f"n{n}", f"k{n}-1", 0, None) for n in range(12_000)]
+    long = [("u", "a", -1, "a", "k0-1", 1, None)] + [("u", "a", n, "ab"[n % 2], f"k{n // 3}-1", 0, None) for n in range(40)]
+    names = ["tenant_id", "__group", "seq", "filename", "document_id", "version", "previous_version"]
+    rows = arrivals + long
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 17]]) for at in range(0, len(rows), 17)]
+    batches = [pa.RecordBatch.from_arrays([c.cast(pa.string()) if c.type == pa.null() else c for c in b.columns], names=names) for b in batches]
+    out = [tuple(r.values()) for b in replayed(iter(batches)) for r in b.to_pylist()]
+    assert [r[1:5] for r in out if r[0] == "t"] == [(n, f"n{n}", f"k{n}-1", "index") for n in range(12_000)]
+    assert [r[1:] for r in out if r[0] == "u"] == replay([("a", "k0-1", 1, None)], [r[2:5] for r in long[1:]])
+
+
+def test_chunks_carry_their_document_and_context(spark):
+    """What joins by id gave, from the pass that cuts; of two rows of one id each keeps its own."""
+    docs = spark.createDataFrame([("d", "Some words here. " * 60, 1), ("e", "Other words there. " * 40, None)], "document_id string, text string, n int")
+    for name, params in (("parent_child", {"parent_size": 300, "child_size": 80}), ("fixed", {})):
+        got = C.chunk(docs, name, params, carry=["n"], context=True)
+        want = C.with_context(C.chunk(docs, name, params)).join(docs.select("document_id", "n"), "document_id")
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = C.chunk(docs.withColumn("document_id", F.lit("d")), "parent_child", carry=["n"], context=True).collect()
+    assert all(r.text in r.context_text and ("Some" in r.text) == (r.n == 1) for r in twice)
+
+
 def test_replay_follows_the_order():
     # A takes B's old content while B is edited: skipped if A comes first, indexed if B does.
     stored = [("a", "k1-1", 1, None), ("b", "k2-1", 1, None)]
