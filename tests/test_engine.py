@@ -432,6 +432,20 @@ def test_plans(spark, tmp_path):
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_the_contract_is_checked_where_chunks_are_made(spark, monkeypatch):
+    """Nothing but counts leaves the pass; each breach is counted, also of two documents of one id; none without documents."""
+    docs = spark.createDataFrame([("d", "one two three. " * 80), ("d", "four five. " * 90), ("e", " ")], "document_id string, text string")
+    plans = {n: {} for n in ("fixed", "parent_child", "sentence")}
+    found = C.contract(docs, plans)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan
+    assert sorted(map(tuple, found.collect())) == [(n, 0, 0, 0) for n in sorted(plans)]
+    assert sorted(map(tuple, C.contract(docs.filter("false"), plans).collect())) == [(n, 0, 0, 0) for n in sorted(plans)]
+    state = C._Contract()
+    state.add("x", "d", "aaa bbb, ccc", [C.Piece("chunk", 0, 0, 3), C.Piece("chunk", 2, 8, 12, lead="> "), C.Piece("section", 0, 4, 7, retrievable=False)])
+    assert list(state.done()) == [("x", 1, 1, 1)]
+
+
 def test_all_strategies_keep_the_chunk_contract(spark):
     queries = __spark_entry__.queries()
     rows = [r for q in ("chunk_contract_violations", "chunk_contract_violations_provided") for r in queries[q](spark, "/root/testdata/sf0.001").collect()]
