@@ -446,6 +446,16 @@ def test_the_contract_is_checked_where_chunks_are_made(spark, monkeypatch):
     assert list(state.done()) == [("x", 1, 1, 1)]
 
 
+def test_the_contract_of_routed_and_semantic_chunks(spark):
+    """Rules and provider reach the pass that checks: as many labels as strategies, from one plan without joins."""
+    docs = spark.createDataFrame([("a", "x, y\n1, 2\n" * 90, "csv"), ("b", "# H\n\n" + "Some text here. " * 90, "markdown"), ("c", "Plain text. " * 99, None)], "document_id string, text string, source_type string")
+    found = C.contract(docs, {"metadata_aware": {}, "semantic": {}}, HashProvider(64))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan
+    got = {r.strategy: tuple(r)[1:] for r in found.collect()}
+    assert got["semantic"] == (0, 0, 0) and got["metadata_aware"][0] > 0 == got["metadata_aware"][2]  # section paths stand before texts unless they are left out
+
+
 def test_all_strategies_keep_the_chunk_contract(spark):
     queries = __spark_entry__.queries()
     rows = [r for q in ("chunk_contract_violations", "chunk_contract_violations_provided") for r in queries[q](spark, "/root/testdata/sf0.001").collect()]
