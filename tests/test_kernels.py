@@ -172,3 +172,19 @@ def test_spans_are_embedded_like_their_texts():
         leads = ["", "A > b\n", "", "c\n", "A > b\n", ""]
         want = provider.embed_batch([lead + text[a:b] for lead, (a, b) in zip(leads, spans, strict=True)])
         assert (provider.embed_spans(Words(text), spans, leads) == want).all(), (text, spans)
+
+
+def test_distances_read_a_text_once_and_hold_one_batch(monkeypatch):
+    """The same distances whatever the batch, from words that are found once for all windows."""
+    text = " ".join(f"Sentence {n} is about {'cats' if n % 7 else 'dogs'}." for n in range(300))
+    spans = S.sentences(text)
+    windows = M.around(spans, 1)
+    vectors = HashProvider(64).embed_batch([text[a:b] for a, b in windows]).astype(float)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    monkeypatch.setattr(HashProvider, "embed_batch", None)
+    sizes, own = [], HashProvider.embed_spans
+    monkeypatch.setattr(HashProvider, "embed_spans", lambda self, words, part: sizes.append(len(part)) or own(self, words, part))
+    for batch in (7, 256):
+        got = M.distances_of(text, windows, HashProvider(64), batch)
+        assert np.allclose(got, 1 - (vectors[:-1] * vectors[1:]).sum(axis=1), atol=1e-12) and max(sizes) <= batch
+        sizes.clear()
