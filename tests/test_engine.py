@@ -350,6 +350,15 @@ def test_passages_are_located_and_ranked_once(spark, tmp_path, monkeypatch, name
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["case_study_holders", "evidence_overlap", "evidence_coverage"])
+def test_only_documents_with_a_passage_are_cut(spark, tmp_path, monkeypatch, name):
+    texts = [(n, f"text {n} " * 90 + ("the passage held " * 3 if n % 7 == 0 else "")) for n in range(30)]
+    cut, chunk = [], C.chunk
+    monkeypatch.setattr(C, "chunk", lambda docs, *a, **b: cut.append(sorted(r.doc_id for r in docs.collect())) or chunk(docs, *a, **b))
+    found = __spark_entry__.queries()[name](spark, _tables(spark, tmp_path, texts, ["the passage held", "nowhere"]))
+    assert cut == [[0, 7, 14, 21, 28]] and found.count() > 0
+
+
 def test_documents_that_hold_a_passage(spark):
     docs = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4"), ("c", "5")], "document_id string, text string")
     gold = spark.createDataFrame([(1, "a"), (2, "a"), (1, "c"), (3, None)], "question_id int, document_id string")
