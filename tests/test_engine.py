@@ -359,6 +359,15 @@ def test_only_documents_with_a_passage_are_cut(spark, tmp_path, monkeypatch, nam
     assert cut == [[0, 7, 14, 21, 28]] and found.count() > 0
 
 
+def test_best_of_a_search_reads_its_ranking_only(spark, tmp_path):
+    """What is best is marked on a ranking that is a table: documents are cut and located once, and not again for the result."""
+    texts = [(n, f"text {n} of words. " * 40 + ("the passage held " * 3 if n == 3 else "")) for n in range(9)]
+    found = __spark_entry__.queries()["search_best_by_k"](spark, _tables(spark, tmp_path, texts, ["the passage held", "nowhere"]))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == 30 and all(r.is_best == (r.reciprocal_rank == max(x.reciprocal_rank for x in rows if x.k == r.k)) for r in rows)
+
+
 def test_documents_that_hold_a_passage(spark):
     docs = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4"), ("c", "5")], "document_id string, text string")
     gold = spark.createDataFrame([(1, "a"), (2, "a"), (1, "c"), (3, None)], "question_id int, document_id string")
